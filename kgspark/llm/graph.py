@@ -1,0 +1,29 @@
+"""Connected components of a table of links, in rounds of joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import saved
+
+
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, component (the smallest node that is reachable), for links (a, b); nodes are longs.
+
+    Each round takes the smallest label among a node's neighbours, then the label of that label, so
+    paths shrink by halves. A round is written to the shared folder; nothing is gathered on the driver.
+    A link with a null end counts for nothing; no links give no rows.
+    """
+    known = links.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    edges = saved(known.select("a", "b").union(known.select("b", "a")).distinct(), "edges")
+    labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
+    for _ in range(rounds):
+        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
+        lower = labels.join(near, labels["node"] == near["a"], "left").select("node", "component", F.least("component", "near").alias("lower"))
+        to = labels.select(F.col("node").alias("to"), F.col("component").alias("jump"))
+        moved = saved(lower.join(to, F.col("lower") == F.col("to"), "left").select("node", F.least("lower", "jump").alias("component"), (F.least("lower", "jump") < F.col("component")).alias("moved")), "labels")
+        labels = moved.select("node", "component")
+        if moved.where("moved").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, packing, quality
+from . import bpe, licenses, media, neardup, packing, quality, substrings
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir)).select(*names)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
@@ -35,9 +40,55 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).select(*names)
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
+
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP3_SQL = rf"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
+win AS (SELECT k, p, array_to_string(ws[p:p + 4], ' ') AS s FROM (SELECT k, ws, unnest(generate_series(1, len(ws) - 4)) AS p FROM w)),
+rep AS (SELECT k, count(*) AS n FROM (SELECT DISTINCT k, p + j AS q FROM (SELECT k, p, count(*) OVER (PARTITION BY k, s) AS c FROM win), unnest(generate_series(0, 4)) AS u(j) WHERE c > 1) GROUP BY k),
+ln AS (SELECT k, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM w),
+m AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines,
+    len(list_filter(ws, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in quality.STOP_WORDS)}))) AS n_stop
+  FROM w JOIN ln USING (k) LEFT JOIN rep USING (k)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT (base_failed OR n_repeat_words / n_words > 0.2 OR word_chars / n_words NOT BETWEEN 1.5 AND 25 OR n_symbols / n_words > 0.35 OR (n_words >= 50 AND n_stop / n_words < 0.04) OR (n_lines > 0 AND n_dup_lines / n_lines > 0.5)) AS kept
+FROM b
+"""
+
+OP6_SQL = rf"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS k, {WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, k, p, array_to_string(ws[p:p + 12], ' ') AS s FROM (SELECT doc_id, k, ws, unnest(generate_series(1, len(ws) - 12)) AS p FROM w)),
+gone AS (SELECT DISTINCT k, p + j AS q FROM (SELECT doc_id, k, p, min(doc_id) OVER (PARTITION BY s) AS least FROM win), unnest(generate_series(0, 12)) AS u(j) WHERE doc_id > least),
+each AS (SELECT k, q, ws[q] AS x FROM (SELECT k, ws, unnest(generate_series(1, len(ws))) AS q FROM w)),
+kept AS (SELECT k, string_agg(x, ' ' ORDER BY q) AS body FROM each ANTI JOIN gone USING (k, q) GROUP BY k),
+n AS (SELECT k, count(*) AS n_removed FROM gone GROUP BY k)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (k) LEFT JOIN n USING (k)
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, least(len(ws), 1)))) AS p FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT DISTINCT a, a AS b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.least, w.doc_id) AS component_id, w.doc_id = coalesce(c.least, w.doc_id) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality": OP3_SQL, "op6_substrings": OP6_SQL, "op9_neardup": OP9_SQL}
