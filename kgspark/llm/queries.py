@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, neardup, packing, quality, store, substrings
+from . import bpe, chat, langid, licenses, media, neardup, packing, quality, store, substrings
 from .common import documents, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir)).select(*names)
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["first"], x["behind"])), ",").alias(c)
+    found = chat.preferences(*chat.swapped_answers(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return found.select("pair_id", "n_prompt_turns", "prompt", "chosen", ranges("chosen_mask"), "rejected", ranges("rejected_mask"))
+
+
 def op5_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/kgspark-store-{uuid.uuid4().hex}"
     store.write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -51,6 +57,21 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+OP4_SQL = r"""
+WITH t AS (SELECT conv_id AS pair_id, turn, coalesce(role, 'user') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+l AS (SELECT pair_id, max(turn) AS lt, arg_max(text, turn) AS own FROM t WHERE role = 'assistant' GROUP BY pair_id),
+p AS (SELECT l.pair_id, l.lt, l.own, o.own AS other FROM l JOIN l o ON o.pair_id = xor(l.pair_id, 1)),
+s AS (SELECT pair_id, count(*) AS n, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn), '') AS prompt FROM t JOIN p USING (pair_id) WHERE turn < lt GROUP BY pair_id)
+SELECT pair_id, CAST(coalesce(n, 0) AS BIGINT) AS n_prompt_turns, coalesce(prompt, '') AS prompt,
+  '<|assistant|>' || chr(10) || own || '<|end|>' || chr(10) AS chosen, '14-' || (14 + length(own)) AS chosen_mask,
+  '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) AS rejected, '14-' || (14 + length(other)) AS rejected_mask
+FROM p LEFT JOIN s USING (pair_id)
+"""
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP3_SQL = rf"""
@@ -100,4 +121,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": OP3_SQL, "op6_substrings": OP6_SQL, "op9_neardup": OP9_SQL}
+    return {"op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op6_substrings": OP6_SQL, "op9_neardup": OP9_SQL}
