@@ -9,19 +9,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import MEMO_ENTRIES, UNSAFE_BLANK, WHITE, map_rows, renamed
-
-
-def byte_alphabet() -> dict[int, str]:
-    """The printable character that stands for each byte: printable bytes for themselves, others from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+from .common import BYTE_ALPHABET, MEMO_ENTRIES, UNSAFE_BLANK, WHITE, Memo, map_rows, renamed
 
 
 def merge_symbols(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -59,17 +53,18 @@ def merge_symbols(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, in
     return [s for s in sym if s >= 0]
 
 
-class ByteBpe(dict):
-    """A byte-level BPE read from a tokenizer file; the dictionary part is a bounded memo of encoded chunks."""
+class ByteBpe(Memo):
+    """A byte-level BPE read from a tokenizer file, with a bounded memo of encoded chunks."""
 
     def __init__(self, path: str, entries: int = MEMO_ENTRIES) -> None:
         import regex
 
+        super().__init__(entries)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab: dict[str, int] = spec["model"]["vocab"]
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        of_byte = byte_alphabet()
+        of_byte = BYTE_ALPHABET
         to_byte = {c: b for b, c in of_byte.items()}
         pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.ranks = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in reversed([*enumerate(pairs)])}
@@ -82,20 +77,14 @@ class ByteBpe(dict):
         self.added = added
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
-        self.entries = entries
 
     def token(self, piece: str) -> bytes:
         first = self.first
         return b"".join(i.to_bytes(4, "little") for i in merge_symbols([first[b] for b in piece.encode()], self.ranks))
 
-    def __missing__(self, chunk: str) -> bytes:
+    def encoded(self, chunk: str) -> bytes:
         pieces = self.split(chunk)
-        out = self.token(chunk) if len(pieces) == 1 else b"".join([self[p] for p in pieces])
-        if len(self) >= self.entries:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
+        return self.token(chunk) if len(pieces) == 1 else b"".join([self[p] for p in pieces])
 
     def _plain(self, text: str) -> bytes:
         if UNSAFE_BLANK.search(text):
@@ -116,11 +105,16 @@ class ByteBpe(dict):
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=4)
+def byte_bpe(path: str) -> ByteBpe:
+    return ByteBpe(path)
+
+
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (array of int): the ids of every whole text."""
 
     def make():
-        bpe = ByteBpe(path)
+        bpe = byte_bpe(path)
         return lambda d, t: (d, np.frombuffer(bpe.ids(t), "<u4"))
 
     return map_rows(renamed(docs, {"doc_id": doc_id, "text": text}), ["doc_id", "text"], make, "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
@@ -130,7 +124,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text: vocabulary strings of the ids, joined; bytes that are no UTF-8 become U+FFFD."""
 
     def make():
-        bpe = ByteBpe(path)
+        bpe = byte_bpe(path)
         return lambda d, ids: (d, bpe.decode(ids or []))
 
     return map_rows(encoded, ["doc_id", "ids"], make, "doc_id long, text string", pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
@@ -140,7 +134,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass without a shuffle."""
 
     def make():
-        bpe = ByteBpe(path)
+        bpe = byte_bpe(path)
 
         def row(d, t):
             ids = np.frombuffer(bpe.ids(t), "<u4").tolist()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to a Python worker. Texts may be long, so batches are short.
 BATCH_ROWS = 256
-#: Entries of a memo of encoded chunks; at the bound it is emptied. It changes speed alone.
+#: Entries of each of the two generations of a memo of encoded chunks. It changes speed alone.
 MEMO_ENTRIES = 500_000
 
 
@@ -77,40 +79,81 @@ def renamed(df: DataFrame, wanted: dict[str, str], keep: list[str] | None = None
     return df.select(*(F.col(f"`{v}`").alias(k) for k, v in wanted.items()), *(F.col(f"`{c}`") for c in keep or []))
 
 
-class WordMemo(dict):
-    """Encoded white-space chunks of a word-level BPE, as little-endian unsigned 32-bit ids.
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte: printable bytes for themselves, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    The tokenizer drops white space and no merge, normal form or lower-casing reaches over a blank or
-    a line break, so the ids of a text are those of its chunks in order. A chunk of letters with a
-    stop or comma behind it is two pre-tokens, whose ids are looked up one by one.
-    """
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES) -> None:
-        from tokenizers import Tokenizer
+BYTE_ALPHABET = byte_alphabet()
+#: ASCII characters that are neither letters, digits nor white space.
+SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        self.tok, self.entries = tok, entries
+class Memo(dict):
+    """Encoded chunks of text. At its bound the entries become the older generation, from which those
+    that are met again come back, so frequent chunks stay. A worker keeps it from task to task."""
+
+    def __init__(self, entries: int = MEMO_ENTRIES) -> None:
+        self.entries, self.older = entries, {}
+
+    def encoded(self, chunk: str) -> bytes:
+        raise NotImplementedError
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in ".," and (core := chunk[:-1]).isalpha():
-            out = self[core] + self[chunk[-1]]
-        elif chunk.isascii() and chunk.isalpha() and not chunk.islower():
-            out = self[chunk.lower()]
-        else:
-            ids = self.tok.encode(chunk, add_special_tokens=False).ids
-            out = b"".join(i.to_bytes(4, "little") for i in ids)
+        out = self.older.get(chunk)
+        if out is None:
+            out = self.encoded(chunk)
         if len(self) >= self.entries:
+            self.older = self.copy()
             self.clear()
         if len(chunk) <= 64:
             self[chunk] = out
         return out
 
+
+class WordMemo(Memo):
+    """A word-level BPE, giving little-endian unsigned 32-bit ids.
+
+    The tokenizer drops white space and no merge, normal form or lower-casing reaches over a blank or
+    a line break, so the ids of a text are those of its chunks in order. Letters with signs behind them
+    are two pre-tokens, whose ids are looked up one by one. A word of letters below U+0180 is in normal
+    form already: its lower-cased bytes go to the tokenizer's merges directly, all else through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES) -> None:
+        from tokenizers import Tokenizer
+
+        super().__init__(entries)
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.merges = self.tok.model.tokenize
+
+    def encoded(self, chunk: str) -> bytes:
+        if not chunk.isalpha():
+            core = chunk.rstrip(SIGNS)
+            if len(core) < len(chunk) and core.isalpha() and core[-1] != "\u0130":  # that one lower-cases to a letter and a mark
+                return self[core] + self[chunk[len(core) :]]
+        else:
+            low = chunk.lower()
+            if low != chunk and low.isascii():
+                return self[low]
+            if low.isalpha() and max(low) < "\u0180":
+                shown = low if low.isascii() else "".join([BYTE_ALPHABET[b] for b in low.encode()])
+                return array("I", [t.id for t in self.merges(shown)]).tobytes()
+        return array("I", self.tok.encode(chunk, add_special_tokens=False).ids).tobytes()
+
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
+@lru_cache(maxsize=4)
+def word_memo(path: str) -> WordMemo:
+    return WordMemo(path)
+
+
 #: White space as the byte-level pre-tokenizer sees it (Unicode White_Space), fixed values.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNSAFE_BLANK = re.compile(f"[{WHITE}] ")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import WordMemo, renamed, tune
+from .common import renamed, tune, word_memo
 
 TIERS = (512, 1024, 2048, 4096)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step_group long, ids binary"
@@ -115,7 +115,7 @@ def pack(
         raise ValueError("tiers are powers of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = WordMemo(path), end_id.to_bytes(4, "little")
+        memo, end = word_memo(path), end_id.to_bytes(4, "little")
         base, made, groups = TaskContext.get().partitionId() << 40, 0, 0
         names: list[int | None] = []
         ids: list[bytes] = []

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordMemo, renamed, tune
+from .common import renamed, tune, word_memo
 
 #: Ids a rolling hash looks at; a cut at one position in MEAN on average; least and most ids of a chunk.
 LOOK, MEAN, LEAST, MOST = 8, 512, 64, 4096
@@ -98,7 +98,7 @@ def chunked(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Rows of both kinds: each chunk once a task, each document's recipe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = WordMemo(tokenizer_path), end_id.to_bytes(4, "little")
+        memo, end = word_memo(tokenizer_path), end_id.to_bytes(4, "little")
         task, made, seen = TaskContext.get().partitionId(), 0, set()
         for batch in batches:
             rows = []
