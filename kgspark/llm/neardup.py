@@ -7,8 +7,12 @@ values of the set's elements: registers of a union are the larger ones of each p
 in a register with a probability near their Jaccard similarity. Bands of registers name buckets.
 
 Documents with equal sets are one class, under its smallest id, before anything is compared. Each class
-is compared with the smallest of its bucket; what stays apart from that is compared with the others of
-the bucket, in rounds. Classes that are linked already need no comparison. A pair is first judged by
+is compared with the smallest of its bucket. In buckets that this leaves in several components, sizes bound
+what can still be linked: two documents that share no rare shingle share at most what neither has of
+rare ones. So pairs are first taken from the buckets, as far as that bound lets them reach the threshold:
+with leading documents, those with the fewest rare shingles first, then with all others; and then
+from the rare shingles, each of which a few documents have. No pair that shares a bucket and reaches
+the threshold is passed over. Classes that are linked already need no comparison. A pair is first judged by
 the maximum-likelihood estimate of its registers, and refused only if that lies more than six standard
 errors under the bound; all others are confirmed on the full sets of their texts. With 32 bands of four
 registers a pair at the bound of 0.8 shares no bucket with a chance of 5e-8.
@@ -33,6 +37,8 @@ from .common import saved, tune
 from .graph import components
 
 REGISTERS, ROWS = 128, 4
+#: A shingle is rare if at most so many of the documents that are left have it.
+RARE = 32
 #: Base, rate and largest exponent of the registers.
 BASE, RATE, LIMIT = 1.001, 20.0, 65_535
 SEEDS = np.random.Generator(np.random.PCG64(20_240_229)).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,7 +137,19 @@ def confirm(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "registers_a", "registers_b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, hub_rounds: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def each_shingle(texts: DataFrame, size: int) -> DataFrame:
+    """(rep, shingle) for each distinct shingle of these documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))), pa.array(every.view(np.int64))], names=["rep", "shingle"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, shingle long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lead_turns: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest id reachable by links), kept."""
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sketches = saved(sketch(own, size), "sketches")
@@ -154,25 +172,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, hub_round
     tested = saved(members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "tested")
     links = saved(checked(tested), "links")
     labels = components(links)
-    for turn in range(hub_rounds + 1):
-        of = members.join(labels, members["rep"] == labels["node"], "left").select("bucket", "rep", "hub", F.coalesce("component", "rep").alias("label"))
-        of = saved(of, "labelled")
-        hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_label"))
-        apart = saved(of.join(hub, "hub", "left").where(F.col("label") != F.coalesce("hub_label", "hub")).select("bucket", F.col("rep").alias("a"), F.col("label").alias("label_a"), "hub"), "apart")
-        if apart.isEmpty():
-            break
-        if turn < hub_rounds:
-            lead = apart.groupBy("bucket").agg(F.min_by("a", F.xxhash64("a", F.lit(turn))).alias("b"))  # another one each turn
-            lead = lead.join(apart.select("bucket", F.col("a").alias("b"), F.col("label_a").alias("label_b")), ["bucket", "b"])
-            pairs = of.join(lead, "bucket").where("label <> label_b").select(F.col("rep").alias("a"), "b")
-        else:
-            pairs = of.join(apart, "bucket").where("label <> label_a").select("a", F.col("rep").alias("b"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    with_labels = lambda df: df.join(labels, df["rep"] == labels["node"], "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+    of = with_labels(members.join(classes.select("rep", "n"), "rep").select("bucket", "rep", "n"))
+    mixed = of.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low <> high")
+    split = saved(of.drop("label").join(mixed.select("bucket", "least"), "bucket"), "split")
+    each = each_shingle(texts.join(split.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), size)
+    times = each.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("rep").alias("rep")).where(F.col("docs") <= RARE)
+    times = saved(times, "rare")
+    alone = times.where("docs = 1").groupBy("rep").agg(F.count("*").alias("u"))
+    few = saved(each.join(times.where("docs > 1").select("shingle"), "shingle"), "few")  # shingle, rep
+    rare = few.groupBy("rep").agg(F.count("*").alias("r"))
+    sizes = split.select("rep", "n").distinct().join(alone, "rep", "left").join(rare, "rep", "left")
+    sizes = saved(sizes.select("rep", "n", F.coalesce("u", F.lit(0)).alias("u"), (F.coalesce("u", F.lit(0)) + F.coalesce("r", F.lit(0))).alias("r")), "sizes")
+    active = split.select("bucket", "rep", "least").join(sizes, "rep")
+    active = saved(active.where((F.col("n") - F.col("r")) * (100 + percent) - F.col("n") * percent >= F.col("least") * percent).select("bucket", "rep", "n", "u", "r"), "active")
+
+    def feasible(own: str):
+        most = F.least(F.col("n_a") - F.col(f"{own}_a"), F.col("n_b") - F.col(f"{own}_b"))
+        return (F.col("label_a") != F.col("label_b")) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
+
+    def side(df: DataFrame, key: str, x: str) -> DataFrame:
+        return df.select(key, F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "u", "r", "label")))
+
+    for turn in range(lead_turns + 2):
+        if turn <= lead_turns:
+            now, key, own = saved(with_labels(active), "labelled"), "bucket", "r"
+        else:  # pairs that share a rare shingle, of which there are few for each
+            now, key, own = saved(with_labels(few.join(sizes, "rep")), "labelled"), "shingle", "u"
+        order = F.col("r") / F.col("n") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+        left = now.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("rep", order).alias("lead")).where("low <> high")
+        others = side(now, key, "b").join(left.select(key, F.col("lead").alias("b")), [key, "b"]) if turn < lead_turns else side(now, key, "b").join(left.select(key), key)
+        met = side(now, key, "a").join(others, key).where(feasible(own) if turn < lead_turns else feasible(own) & (F.col("a") < F.col("b")))
+        pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         fresh = saved(pairs.join(tested, ["a", "b"], "left_anti"), "fresh")
         if fresh.isEmpty():
-            if turn < hub_rounds:
-                continue
-            break
+            continue
         more = saved(checked(fresh), "links")
         tested = tested.union(fresh)
         if not more.isEmpty():
