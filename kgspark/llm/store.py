@@ -2,7 +2,7 @@
 
 A rolling hash over the ids of a document cuts it into chunks, so equal passages give equal chunks.
 A chunk's address is the SHA-256 of its stored bytes (ids as little-endian unsigned 16-bit numbers, or
-32-bit where an id needs it); each distinct chunk is stored once. The folder holds three Parquet tables:
+32-bit where an id of its batch needs it); each distinct chunk is stored once. The folder holds three Parquet tables:
 
     packed/kind=chunk      address, n (ids), width, body
     packed/kind=recipe     recipes as the tasks made them, unordered
@@ -32,32 +32,36 @@ from pyspark.sql import functions as F
 from .common import renamed, tune, word_memo
 
 #: Ids a rolling hash looks at; a cut at one position in MEAN on average; least and most ids of a chunk.
-LOOK, MEAN, LEAST, MOST = 8, 512, 64, 4096
+LOOK, MEAN, LEAST, MOST = 8, 1024, 64, 4096
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a document."""
-    n = len(ids)
-    ends = []
-    if n > LEAST:
-        mixed = (ids.astype(np.uint64) + np.uint64(1)) * MULTIPLIER
-        mixed ^= mixed >> np.uint64(32)
-        rolling = np.zeros(n - LOOK + 1, np.uint64)
-        for k in range(LOOK):
-            rolling *= MULTIPLIER
-            rolling += mixed[k : k + len(rolling)]
-        at = 0
-        for end in (np.flatnonzero((rolling >> np.uint64(40)) % np.uint64(MEAN) == 0) + LOOK).tolist():
-            while end - at > MOST:
-                at += MOST
-                ends.append(at)
-            if LEAST <= end - at and end < n:
-                ends.append(end)
-                at = end
-        while n - at > MOST:
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the LOOK ids before a position asks for a cut."""
+    if len(ids) < LOOK:
+        return np.zeros(0, np.int64)
+    mixed = (ids.astype(np.uint64) + np.uint64(1)) * MULTIPLIER
+    mixed ^= mixed >> np.uint64(32)
+    rolling = np.zeros(len(ids) - LOOK + 1, np.uint64)
+    for k in range(LOOK):
+        rolling *= MULTIPLIER
+        rolling += mixed[k : k + len(rolling)]
+    return np.flatnonzero((rolling >> np.uint64(40)) & np.uint64(MEAN - 1) == 0) + LOOK
+
+
+def cuts(n: int, wanted: list[int]) -> list[int]:
+    """Ends of the chunks of a document of n ids, given where cuts are wanted."""
+    ends, at = [], 0
+    for end in wanted:
+        while end - at > MOST:
             at += MOST
             ends.append(at)
+        if end - at >= LEAST and end < n:
+            ends.append(end)
+            at = end
+    while n - at > MOST:
+        at += MOST
+        ends.append(at)
     return [*ends, n]
 
 
@@ -101,21 +105,26 @@ def chunked(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         memo, end = word_memo(tokenizer_path), end_id.to_bytes(4, "little")
         task, made, seen = TaskContext.get().partitionId(), 0, set()
         for batch in batches:
-            rows = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(memo.ids(text) + end, "<u4")
-                width = 2 if ids.max() < 1 << 16 else 4
-                body, at, own = ids.astype(f"<u{width}").tobytes(), 0, []
-                for stop in cuts(ids):
-                    piece = body[at * width : stop * width]
+            rows, texts = [], [memo.ids(t) + end for t in batch.column(1).to_pylist()]
+            every = np.frombuffer(b"".join(texts), "<u4")
+            width = 2 if len(every) and every.max() < 1 << 16 else 4
+            body, wanted = every.astype(f"<u{width}").tobytes(), marks(every)
+            stops = np.cumsum([len(t) // 4 for t in texts])
+            first = np.searchsorted(wanted, stops - [len(t) // 4 for t in texts] + LOOK).tolist()
+            last = np.searchsorted(wanted, stops).tolist()
+            start = 0
+            for i, (name, stop) in enumerate(zip(batch.column(0).to_pylist(), stops.tolist(), strict=True)):
+                at, own = start, []
+                for cut in cuts(stop - start, (wanted[first[i] : last[i]] - start).tolist()):
+                    piece = body[at * width : (start + cut) * width]
                     address = hashlib.sha256(piece).digest()
                     own.append(address)
                     if address not in seen:
                         seen.add(address)
-                        rows.append(("chunk", address, None, stop - at, width, piece))
-                    at = stop
-                rows.append(("recipe", b"%16x%16x" % (task, made), name, len(ids), 32, b"".join(own)))
-                made += 1
+                        rows.append(("chunk", address, None, start + cut - at, width, piece))
+                    at = start + cut
+                rows.append(("recipe", b"%16x%16x" % (task, made), name, stop - start, 32, b"".join(own)))
+                made, start = made + 1, stop
             kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["kind", "address", "doc_id", "n", "width", "body"])
 
