@@ -6,6 +6,8 @@ import re
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import pyarrow as pa
@@ -38,12 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
+#: The folders of the tables that an operator has saved and that go when it is done.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within, what saved() writes lasts until the end of the block, unless it is told to keep it."""
+    paths: list[str] = []
+    mark = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(mark)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df under the shared folder and read it back: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kgspark-{name}-{uuid.uuid4().hex}"
-    out = df.write.options(**{"compression": "zstd", **options})
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+    paths = _scratch.get()
+    if paths is not None and not keep:
+        paths.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

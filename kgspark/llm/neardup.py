@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, tune
+from .common import saved, scratch, tune
 from .graph import components
 
 REGISTERS, ROWS = 128, 4
@@ -151,6 +151,11 @@ def each_shingle(texts: DataFrame, size: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lead_turns: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest id reachable by links), kept."""
+    with scratch(docs.sparkSession):
+        return saved(_near_duplicates(docs, size, percent, lead_turns, doc_id, text), "near-duplicates", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int, lead_turns: int, doc_id: str, text: str) -> DataFrame:
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sketches = saved(sketch(own, size), "sketches")
     known = sketches.where("n_shingles > 0 and doc_id is not null")
@@ -221,7 +226,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lead_turn
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents that near_duplicates keeps, one row for each doc_id, with the columns of docs."""
     kept = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("_id"))
-    kept = saved(kept, "kept")
     repeated = not kept.where("_id is not null").groupBy("_id").count().where("count > 1").isEmpty()
     out = docs.join(kept.where("_id is not null").distinct() if repeated else kept.where("_id is not null"), docs["doc_id"] == kept["_id"], "left_semi")
     out = out.dropDuplicates(["doc_id"]) if repeated else out
