@@ -33,8 +33,6 @@ class Value:
 
 Scope = Callable[[object], Value]  # of a Var, an Aggregate or an Exists
 
-NULL = F.lit(None).cast("string")
-
 
 def constant(term: str | Literal) -> Value:
     if isinstance(term, Literal):
@@ -241,7 +239,7 @@ def compile_expression(e: object, scope: Scope) -> Value:
         case "FLOOR":
             return number(F.floor(a.n).cast("double"))
         case "COALESCE":
-            pick = lambda part: F.coalesce(*(F.when(x.v.isNotNull(), getattr(x, part)) for x in args)) if args else NULL
+            pick = lambda part: F.coalesce(*(F.when(x.v.isNotNull(), getattr(x, part)) for x in args)) if args else F.lit(None).cast("string")
             return Value(*(pick(p) for p in "vkdln"))
         case "IF":
             test, c = truth(a), args[2]
