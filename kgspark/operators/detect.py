@@ -69,16 +69,15 @@ def lateral_movement(events: DataFrame, window_seconds: int = 300) -> DataFrame:
 
     user, session_count (all successful logins), time_span_seconds and unique_ips of the first such run.
     """
-    logins = events.where((F.col("type") == "UserLogin") & F.col("success")).select("user", "source_ip", F.col("timestamp").alias("t"), *(["event_id"] if "event_id" in events.columns else []))
-    order = ["t", *(["event_id"] if "event_id" in events.columns else ["source_ip"])]
-    w = Window.partitionBy("user").orderBy(*order)
-    ip, t = F.col("source_ip"), F.col("t")
-    rows = logins.select(
-        "user", *[c for c in order], (t - F.lag("t", 2).over(w)).alias("span"), F.lag("source_ip", 1).over(w).alias("ip1"), F.lag("source_ip", 2).over(w).alias("ip2"), "source_ip" if "source_ip" not in order else F.lit(1).alias("_one"), F.count("*").over(Window.partitionBy("user")).alias("session_count")
-    )
-    hits = rows.where((F.col("span") <= window_seconds) & (ip != F.col("ip1")) & (ip != F.col("ip2")) & (F.col("ip1") != F.col("ip2")))
-    first = F.row_number().over(Window.partitionBy("user").orderBy(*order))
-    return hits.withColumn("_at", first).where("_at = 1").select("user", "session_count", F.col("span").alias("time_span_seconds"), F.lit(3).cast("long").alias("unique_ips"))
+    tie = "event_id" if "event_id" in events.columns else "source_ip"
+    logins = events.where((F.col("type") == "UserLogin") & F.col("success")).select("user", F.col("timestamp").alias("t"), F.col(tie).alias("tie"), F.col("source_ip").alias("ip"))
+    of_user = Window.partitionBy("user")
+    w = of_user.orderBy("t", "tie")
+    back = lambda c, k: F.lag(c, k).over(w)
+    rows = logins.select("user", "t", "tie", "ip", (F.col("t") - back("t", 2)).alias("span"), back("ip", 1).alias("ip1"), back("ip", 2).alias("ip2"), F.count("*").over(of_user).alias("session_count"))
+    hits = rows.where((F.col("span") <= window_seconds) & (F.col("ip") != F.col("ip1")) & (F.col("ip") != F.col("ip2")) & (F.col("ip1") != F.col("ip2")))
+    first = hits.withColumn("_at", F.row_number().over(w)).where("_at = 1")
+    return first.select("user", "session_count", F.col("span").alias("time_span_seconds"), F.lit(3).cast("long").alias("unique_ips"))
 
 
 def dangerous_commands(events: DataFrame) -> DataFrame:

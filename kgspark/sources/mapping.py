@@ -148,6 +148,6 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> VirtualGraph:
     graph.add_table(read("supplier"), "supplier", "s_suppkey", {"s_nationkey": "nation"}, rows=0.01)
     graph.add_table(read("part"), "part", "p_partkey", rows=0.2)
     graph.add_table(read("orders"), "orders", "o_orderkey", {"o_custkey": "customer"}, rows=1.5)
-    lines = read("lineitem").withColumn("l_key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    lines = read("lineitem").withColumn("l_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))  # no shorter key is unique
     graph.add_table(lines, "lineitem", "l_key", {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, rows=6.0, skip=("l_key",))
     return graph
