@@ -207,7 +207,13 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, lead_turns: int,
         order = F.col("r") / F.col("n") if turn == 0 else F.xxhash64("rep", F.lit(turn))
         left = now.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("rep", order).alias("lead")).where("low <> high")
         others = side(now, key, "b").join(left.select(key, F.col("lead").alias("b")), [key, "b"]) if turn < lead_turns else side(now, key, "b").join(left.select(key), key)
-        met = side(now, key, "a").join(others, key).where(feasible(own) if turn < lead_turns else feasible(own) & (F.col("a") < F.col("b")))
+        if turn != lead_turns:
+            met = side(now, key, "a").join(others, key).where(feasible(own) if turn < lead_turns else feasible(own) & (F.col("a") < F.col("b")))
+        else:  # each pair in the first of its common buckets alone
+            mine = active.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))
+            all_of = lambda x: mine.select(F.col("rep").alias(x), F.col("buckets").alias(f"buckets_{x}"))
+            first = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col(key)
+            met = side(now, key, "a").join(all_of("a"), "a").join(others.join(all_of("b"), "b"), key).where(feasible(own) & (F.col("a") < F.col("b")) & first)
         pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         fresh = saved(pairs.join(tested, ["a", "b"], "left_anti"), "fresh")
         if fresh.isEmpty():
