@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch sent to a Python worker. Texts may be long, so batches are short.
 BATCH_ROWS = 256
 #: Entries of each of the two generations of a memo of encoded chunks. It changes speed alone.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 400_000
 
 
 def tune(spark: SparkSession) -> None:
