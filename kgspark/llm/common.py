@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to a Python worker. Texts may be long, so batches are short.
-BATCH_ROWS = 256
+BATCH_ROWS = 64
 #: Entries of each of the two generations of a memo of encoded chunks. It changes speed alone.
 MEMO_ENTRIES = 400_000
 
@@ -123,6 +123,10 @@ class Memo(dict):
     def encoded(self, chunk: str) -> bytes:
         raise NotImplementedError
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
     def __missing__(self, chunk: str) -> bytes:
         out = self.older.get(chunk)
         if out is None:

@@ -114,15 +114,16 @@ def confirm(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def of(doc: int, text: str) -> np.ndarray:
+        def of(doc: int, text: pa.Scalar) -> np.ndarray:
             if doc not in memo:
-                memo[doc] = shingles(text, size)
-                if len(memo) > 512:
+                memo[doc] = shingles(text.as_py(), size)
+                if len(memo) > 128:
                     memo.popitem(last=False)
             return memo[doc]
 
         for batch in batches:
-            a, b, n_a, n_b, r_a, r_b, t_a, t_b = (c.to_pylist() for c in batch.columns)
+            a, b, n_a, n_b, r_a, r_b = (c.to_pylist() for c in batch.columns[:6])
+            t_a, t_b = batch.columns[6:]
             keep = []
             if a:
                 look = lambda r: np.frombuffer(b"".join(r), "<u2").reshape(-1, REGISTERS)

@@ -146,6 +146,7 @@ def pack(
                     yield block()
         if ids:
             yield block()
+        memo.forget()  # what follows in this worker needs the memory more
 
     tune(docs.sparkSession)
     out = renamed(docs, {"doc_id": doc_id, "text": text}).mapInArrow(run, SCHEMA)
