@@ -32,10 +32,11 @@ def escaped(c: Column) -> Column:
 def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
     """Quads of N-Triples or N-Quads lines. Blank and comment lines are skipped; another line fails the job."""
     line = F.col(column)
-    known = lines.where(~line.rlike(r"^\s*(#.*)?$"))
+    skipped = line.rlike(r"^\s*(#.*)?$")
+    known = lines.where(~skipped)
     part = lambda i: F.regexp_extract(line, LINE, i)
     ok = line.rlike(LINE)
-    raw = known.select(F.when(ok, part(1)).otherwise(F.raise_error(F.concat(F.lit("no N-Triples: "), line))).alias("s"), part(2).alias("p"), part(3).alias("o"), part(4).alias("g"))
+    raw = known.select(F.when(skipped, F.lit(None).cast("string")).when(ok, part(1)).otherwise(F.raise_error(F.concat(F.lit("no N-Triples: "), line))).alias("s"), part(2).alias("p"), part(3).alias("o"), part(4).alias("g"))
     bare = lambda c: F.when(c.startswith("<"), F.expr(f"substring({'s' if c is S else 'o' if c is O else 'g'}, 2, length({'s' if c is S else 'o' if c is O else 'g'}) - 2)")).otherwise(c)
     S, O, G = F.col("s"), F.col("o"), F.col("g")  # noqa: E741, N806
     literal = O.startswith('"')
