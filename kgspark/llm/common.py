@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch sent to a Python worker. Texts may be long, so batches are short.
 BATCH_ROWS = 64
 #: Entries of each of the two generations of a memo of encoded chunks. It changes speed alone.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 500_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -176,7 +176,8 @@ class WordMemo(Memo):
             return b""
         if "<|" not in text:  # which may begin a special token, and those are told by case
             try:
-                text.encode("latin-1")
+                if not text.isascii():
+                    text.encode("latin-1")
                 text = text.lower()  # as the tokenizer lower-cases these characters, so chunks that differ in case alone are one
             except UnicodeEncodeError:
                 pass
