@@ -131,6 +131,13 @@ class Ontology:
         """Sub-class and type triples that follow."""
         return node_triples(self.below, SUBCLASS).unionByName(node_triples(self.types(), TYPE))
 
+    def lite_axioms(self) -> DataFrame:
+        """The axioms between names alone: class, property, individual and type axioms without expressions."""
+        predicates = [SUBCLASS, OWL + "equivalentClass", OWL + "disjointWith", RDFS + "subPropertyOf", RDFS + "domain", RDFS + "range", OWL + "equivalentProperty", OWL + "inverseOf", OWL + "sameAs", OWL + "differentFrom", TYPE]
+        user = ~reduce(lambda a, b: a | b, (F.col("p").startswith(v) for v in VOCABULARY))
+        named = ~F.col("s").startswith("_:") & (~F.col("o").startswith("_:") | (F.col("o_kind") == "literal"))
+        return self.quads.where((F.col("p").isin(predicates) | user) & named)
+
     # Properties.
     def links(self, prop: object) -> DataFrame:
         """(x, y, literal) over a property or its inverse, declared inverses followed."""

@@ -18,7 +18,7 @@ from kgspark.operators.rdfs import COLUMNS, entailed
 from kgspark.plans.compiler import Compiler
 from kgspark.plans.syntax import Pattern, Var
 from kgspark.sources.mapping import Literal, QuadGraph
-from kgspark.terms import as_quads
+from kgspark.terms import TYPE, as_quads
 
 TRIPLE_DDL = "s string, p string, o string, o_kind string, o_dt string, o_lang string"
 VIOLATION_DDL = "level string, message string, s string, p string, o string, rule_name string, context string"
@@ -115,6 +115,52 @@ class InferenceRule:
         return rel.df.select(F.explode(F.array(*rows)).alias("t")).select("t.*").distinct()
 
 
+@dataclass
+class ActionRule:
+    """Conditions are triples as in an InferenceRule; each solution gives each action, a dictionary of action
+    columns in which `?x` stands for the text of a variable (null if no condition binds it) and `details` may
+    be a dictionary of such."""
+
+    name: str
+    conditions: list[tuple]
+    templates: list[dict]
+    priority: int = 0
+
+    def apply(self, quads: DataFrame) -> RuleResult:
+        rel = Compiler(QuadGraph(quads)).triples([Pattern(*(term(x) for x in c)) for c in self.conditions])
+
+        def shown(x: object) -> Column:
+            if isinstance(x, str) and x.startswith("?"):
+                return rel.value(x[1:]).v if x[1:] in rel.names else F.lit(None).cast("string")
+            return F.lit(x)
+
+        def column(x: object) -> Column:
+            return F.to_json(F.struct(*(shown(v).alias(k) for k, v in x.items()))) if isinstance(x, dict) else shown(x)
+
+        return RuleResult(actions=reduce(DataFrame.unionByName, [actions(rel.df, **{k: column(v) for k, v in t.items()}) for t in self.templates]))
+
+
+SECURITY = "https://w3id.org/security#"
+
+
+def lateral_movement_rule() -> ActionRule:
+    """Two sessions of a user with their addresses; a session pairs with itself too, as no condition forbids it."""
+    said = {"action_type": "alert", "severity": "medium", "message": "Potential lateral movement detected", "details": {"user": "?user", "from_ip": "?ip1", "to_ip": "?ip2"}}
+    sessions = [("?user", SECURITY + "hasSession", "?session1"), ("?user", SECURITY + "hasSession", "?session2")]
+    return ActionRule("lateral_movement_detection", [*sessions, ("?session1", SECURITY + "sourceIp", "?ip1"), ("?session2", SECURITY + "sourceIp", "?ip2")], [said])
+
+
+def privilege_escalation_rule() -> ActionRule:
+    """A process of an administrator: isolate, revoke, alert."""
+    conditions = [("?process", TYPE, SECURITY + "ProcessExecution"), ("?process", SECURITY + "user", "?user"), ("?user", SECURITY + "privilegeLevel", Literal("admin")), ("?process", SECURITY + "commandLine", "?command")]
+    templates = [
+        {"action_type": "isolate_host", "host_ip": "?host_ip", "reason": "Privileged user executing dangerous commands"},
+        {"action_type": "revoke_privileges", "user": "?user", "privilege": "admin", "reason": "Dangerous command execution detected"},
+        {"action_type": "alert", "severity": "critical", "message": "Privilege escalation alert", "details": {"user": "?user", "process": "?process", "command": "?command"}},
+    ]
+    return ActionRule("privilege_escalation_detection", conditions, templates)
+
+
 def fixpoint(quads: DataFrame, rules: list[InferenceRule], rounds: int = 50) -> DataFrame:
     """The triples that the rules add to quads, to their fixpoint."""
     base = as_quads(quads).select(*COLUMNS).distinct()
@@ -283,6 +329,11 @@ def process(quads: DataFrame, registry: Registry, options: Options | None = None
     return EngineResult(fresh, after, result.actions, violations)
 
 
+def process_each(quads: DataFrame, registries: list[Registry], options: Options | None = None) -> list[EngineResult]:
+    """Independent engines over the same quads."""
+    return [process(quads, r, options) for r in registries]
+
+
 # Staged pipelines.
 @dataclass
 class Stage:

@@ -179,3 +179,13 @@ def test_fan_out_goes_on_after_a_failure(spark, tmp_path):
     assert sum(seen) == 50 and len(errors) == len(seen)
     streams.micro_batches(df, work, f"{tmp_path}/checkpoint").awaitTermination()
     assert sum(seen) == 50
+
+
+def test_action_rules_join_their_conditions(spark):
+    sec = rules.SECURITY
+    q = quads_of(spark, [("u", sec + "hasSession", "s1"), ("u", sec + "hasSession", "s2"), ("s1", sec + "sourceIp", ("1",)), ("s2", sec + "sourceIp", ("2",)), ("v", sec + "hasSession", "s3"), ("p", TYPE, sec + "ProcessExecution"), ("p", sec + "user", "u"), ("u", sec + "privilegeLevel", ("admin",)), ("p", sec + "commandLine", ("sudo",))])
+    lateral = rules.lateral_movement_rule().apply(q).actions
+    assert lateral.count() == 4 and json.loads(lateral.orderBy("details").first()["details"])["user"] == "u"
+    got = {r["action_type"]: r for r in rules.privilege_escalation_rule().apply(q).actions.collect()}
+    assert set(got) == {"isolate_host", "revoke_privileges", "alert"} and got["revoke_privileges"]["user"] == "u" and got["isolate_host"]["host_ip"] is None
+    assert len(rules.process_each(q, [rules.Registry().register(rules.lateral_movement_rule()), rules.Registry()])) == 2

@@ -139,3 +139,12 @@ def test_filters_reach_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(c_mktsegment,BUILDING)" in plan and "GreaterThan(c_acctbal,9000.0)" in plan and "Python" not in plan
     assert plan.count("FileScan") == 2
+
+
+def test_patterns_built_in_python(spark, people):
+    from kgspark.plans.builder import GraphQuery, const, literal, var
+
+    q = GraphQuery(people).where(var("x"), const(EX + "knows"), var("y")).where(var("y"), const(EX + "age"), literal(4, INTEGER))
+    assert sorted(r["x"].replace(EX, "") for r in q.execute().collect()) == ["_:b1", "alice"]
+    assert GraphQuery(people).execute().count() == 1
+    assert GraphQuery(people).where(var("x"), const(TYPE), const(EX + "Person")).execute().count() == 3

@@ -104,6 +104,7 @@ def test_lite(family):
     assert {r["class"].replace(EX, "") for r in family.subclasses(EX + "Person").collect()} == {"Person", "Parent", "Adult"}
     low = {(r["individual"].replace(EX, ""), r["class"].replace(EX, "")) for r in family.realized().collect()}
     assert ("alice", "Parent") in low and ("alice", "Person") not in low and ("bob", "Person") in low
+    assert family.lite_axioms().where("s like '\\_:%' or o like '\\_:%'").count() == 0 and family.lite_axioms().count() > 5
     assert family.is_consistent() and family.inferred_axioms().count() > 0
 
 
