@@ -46,13 +46,17 @@ _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Within, what saved() writes lasts until the end of the block, unless it is told to keep it."""
+    """Within, what saved() writes lasts until the end of the block, unless it is told to keep it, and no
+    join broadcasts a side: the size of a written table says little about its size in memory."""
     paths: list[str] = []
-    mark = _scratch.set(paths)
+    mark, name = _scratch.set(paths), "spark.sql.autoBroadcastJoinThreshold"
+    limit = spark.conf.get(name)
+    spark.conf.set(name, "-1")
     try:
         yield
     finally:
         _scratch.reset(mark)
+        spark.conf.set(name, limit)
         for path in paths:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
