@@ -140,7 +140,7 @@ def upserted(feed: DataFrame, more: DataFrame) -> DataFrame:
     return feed.join(more.select("id"), "id", "left_anti").unionByName(more)
 
 
-def threats(values: DataFrame, feed: DataFrame, value: str, indicator_type: str, limit_rows: int = 1_000_000) -> DataFrame:
+def threats(values: DataFrame, feed: DataFrame, value: str, indicator_type: str) -> DataFrame:
     """values that the feed lists, with threat_type, severity and the message. Spark broadcasts a small feed by its size."""
     own = feed.where(F.col("indicator_type") == indicator_type).select(F.col("value").alias("_value"), "threat_type", "severity").dropDuplicates(["_value"])
     said = F.concat(F.lit("Threat detected: "), F.col("threat_type"), F.lit(" ("), F.col("severity"), F.lit(")"))

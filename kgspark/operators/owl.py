@@ -120,11 +120,8 @@ class Ontology:
     def realized(self) -> DataFrame:
         """(individual, class): the lowest classes of each individual."""
         types = self.types()
-        up = self.below.select(F.col("a").alias("low"), F.col("b").alias("class"))
-        above = types.join(up, types["b"] == up["low"]).select("a", F.col("class").alias("b")).distinct()
         same = self.below.select("a", "b").intersect(self.below.select(F.col("b").alias("a"), F.col("a").alias("b")))
         strict = types.join(self.below.subtract(same).select(F.col("a").alias("low"), F.col("b").alias("class")), types["b"] == F.col("low")).select("a", F.col("class").alias("b")).distinct()
-        del above
         return types.join(strict, ["a", "b"], "left_anti").select(F.col("a").alias("individual"), F.col("b").alias("class"))
 
     def inferred_axioms(self) -> DataFrame:

@@ -268,15 +268,7 @@ class Compiler:
             right = self.filtered(right, f)
         on, _ = self.compatible(left, right)
 
-        def scope(e: object) -> Value:
-            if isinstance(e, Var):
-                if e.name in left.names and (e.name in left.certain or e.name not in right.names):
-                    return left.value(e.name)
-                if e.name in right.names:
-                    return right.value(e.name, "r:")
-                return unbound()
-            raise QueryError("no aggregate in a filter")
-
+        scope = self.scope_of_both(left, right)
         for f in filters:
             if f not in inner:
                 c = F.coalesce(truth(compile_expression(f, scope)), F.lit(False))
@@ -306,12 +298,43 @@ class Compiler:
         return Rel(left.df.join(right.renamed("r:"), on, "left_anti"), left.certain, left.maybe, left.nodes)
 
     def semi(self, left: Rel, e: S.Exists) -> Rel:
-        right = self.group(substituted(e.group, left.names))
-        on, shared = self.compatible(left, right)
-        other = right.renamed("r:") if right.names else right.df.select(F.lit(True).alias("r:unit")).limit(1)
+        """Rows with (or without) a solution of the group; its filters may name variables of the row."""
+        right, outer = self.inner(left, e.group)
+        on, _ = self.compatible(left, right)
+        scope = self.scope_of_both(left, right)
+        for f in outer:
+            c = F.coalesce(truth(compile_expression(f, scope)), F.lit(False))
+            on = c if on is None else on & c
+        other = right.renamed("r:") if right.names else right.df.select(F.lit(True).alias("r:unit"))
         how = "left_anti" if e.negated else "left_semi"
         return Rel(left.df.join(other, F.lit(True) if on is None else on, how), left.certain, left.maybe, left.nodes)
 
+    def inner(self, left: Rel, group: S.Group) -> tuple[Rel, list]:
+        """A group's table without the filters that name variables of left alone, and those filters."""
+        filters = [x.condition for x in group.elements if isinstance(x, S.Filter)]
+        right = self.group(S.Group([x for x in group.elements if not isinstance(x, S.Filter)]))
+        outer = [f for f in filters if (variables(f) & left.names) - right.names]
+        for f in filters:
+            if f not in outer:
+                right = self.filtered(right, f)
+            elif has_exists(f):
+                raise QueryError("EXISTS within EXISTS names variables of the outer row")
+        return right, outer
+
+    def scope_of_both(self, left: Rel, right: Rel):
+        """Variables of a join's condition: of left if it surely has them, else of right."""
+
+        def scope(e: object) -> Value:
+            if isinstance(e, Var):
+                if e.name in left.names and (e.name in left.certain or e.name not in right.names):
+                    return left.value(e.name)
+                if e.name in right.names:
+                    return right.value(e.name, "r:")
+                return unbound()
+            raise QueryError("no aggregate in a filter")
+
+        return scope
+
     # Filters and expressions.
     def scope_of(self, rel: Rel, more: dict[object, Value] | None = None):
         def scope(e: object) -> Value:
@@ -336,7 +359,9 @@ class Compiler:
         more: dict[object, Value] = {}
         df = rel.df
         for i, e in enumerate(find_exists(condition)):
-            right = self.group(substituted(e.group, rel.names))
+            right, outer = self.inner(rel, e.group)
+            if outer:
+                raise QueryError("EXISTS inside || or ! names variables of the outer row in a filter")
             shared = sorted(rel.names & right.names)
             if any(n not in rel.certain or n not in right.certain for n in shared):
                 raise QueryError("EXISTS inside || or ! wants variables that are certainly bound")
@@ -585,9 +610,8 @@ def has_exists(e: object) -> bool:
     return bool(find_exists(e))
 
 
-def substituted(g: S.Group, names: set[str]) -> S.Group:
-    """The group as it stands: shared variables are joined on, which is what substitution gives."""
-    return g
+def variables(e: object) -> set[str]:
+    return {e.name} if isinstance(e, Var) else {n for x in children(e) for n in variables(x)}
 
 
 def query(graph: Graph, text: str, types: dict[str, str] | None = None, prefixes: dict[str, str] | None = None) -> DataFrame:

@@ -119,9 +119,7 @@ def to_jsonld(quads: DataFrame) -> DataFrame:
     q = as_quads(quads)
     value = F.when(F.col("o_kind") != "literal", F.to_json(F.struct(F.col("o").alias("@id")))).when(F.col("o_lang") != "", F.to_json(F.struct(F.col("o").alias("@value"), F.col("o_lang").alias("@language")))).otherwise(F.to_json(F.struct(F.col("o").alias("@value"), F.col("o_dt").alias("@type"))))
     lists = q.groupBy("s", "p").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_set(value)), ","), F.lit("]")).alias("os"))
-    body = F.array_join(F.sort_array(F.collect_list(F.concat(F.to_json(F.array("p")), F.lit(":"), F.col("os")))), ",")
     nodes = lists.groupBy("s").agg(F.collect_list(F.struct("p", "os")).alias("own"))
-    del body
     quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
     fields = F.transform(F.array_sort("own"), lambda x: F.concat(quoted(x["p"]), F.lit(":"), x["os"]))
     return nodes.select("s", F.concat(F.lit('{"@id":'), quoted(F.col("s")), F.lit(","), F.array_join(fields, ","), F.lit("}")).alias("node"))

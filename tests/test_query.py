@@ -68,6 +68,11 @@ def test_union_minus_exists(people):
     assert got(people, "SELECT ?x WHERE { ?x a ex:Person FILTER EXISTS { ?x ex:phone ?p } }") == [("alice",)]
 
 
+def test_exists_sees_the_outer_row(people):
+    assert got(people, "SELECT ?x WHERE { ?x ex:age ?a FILTER EXISTS { ?y ex:age ?b FILTER(?b < ?a) } }") == [("alice",)]
+    assert got(people, "SELECT ?x WHERE { ?x ex:age ?a FILTER NOT EXISTS { ?y ex:age ?b FILTER(?b > ?a) } }") == [("alice",), ("carl",)]
+
+
 def test_values_join(people):
     assert got(people, "SELECT ?x ?a WHERE { ?x ex:age ?a VALUES ?x { ex:bob ex:nobody } }") == [("bob", "4")]
 
