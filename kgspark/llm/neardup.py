@@ -182,7 +182,17 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, lead_turns: int,
     of = with_labels(members.join(classes.select("rep", "n"), "rep").select("bucket", "rep", "n"))
     mixed = of.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low <> high")
     split = saved(of.drop("label").join(mixed.select("bucket", "least"), "bucket"), "split")
-    each = each_shingle(texts.join(split.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), size)
+    def able(own: str):
+        """Whether a document with so many shingles of its own can be linked with any in its bucket."""
+        return (F.col("n") - F.col(own)) * (100 + percent) - F.col("n") * percent >= F.col("least") * percent
+
+    def shingles_of(rows: DataFrame) -> DataFrame:
+        return each_shingle(texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), size)
+
+    # What no other document has bounds a document by itself, so most need no further look.
+    alone = shingles_of(split).groupBy("shingle").agg(F.count("*").alias("docs"), F.min("rep").alias("rep")).where("docs = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    split = saved(split.join(alone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(able("own")).drop("own"), "split")
+    each = shingles_of(split)
     times = each.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("rep").alias("rep")).where(F.col("docs") <= RARE)
     times = saved(times, "rare")
     alone = times.where("docs = 1").groupBy("rep").agg(F.count("*").alias("u"))
@@ -191,7 +201,7 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, lead_turns: int,
     sizes = split.select("rep", "n").distinct().join(alone, "rep", "left").join(rare, "rep", "left")
     sizes = saved(sizes.select("rep", "n", F.coalesce("u", F.lit(0)).alias("u"), (F.coalesce("u", F.lit(0)) + F.coalesce("r", F.lit(0))).alias("r")), "sizes")
     active = split.select("bucket", "rep", "least").join(sizes, "rep")
-    active = saved(active.where((F.col("n") - F.col("r")) * (100 + percent) - F.col("n") * percent >= F.col("least") * percent).select("bucket", "rep", "n", "u", "r"), "active")
+    active = saved(active.where(able("r")).select("bucket", "rep", "n", "u", "r"), "active")
 
     def feasible(own: str):
         most = F.least(F.col("n_a") - F.col(f"{own}_a"), F.col("n_b") - F.col(f"{own}_b"))
