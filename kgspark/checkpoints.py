@@ -20,4 +20,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written and read back: a loop's plan stays short, and a lost executor costs no earlier round."""
     path = f"{shared_dir(df.sparkSession)}/kgspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that saved() wrote and nothing reads any more; other tables are left alone."""
+    for table in tables:
+        if path := getattr(table, "_saved_at", None):
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.checkpoints import saved
+from kgspark.checkpoints import discard, saved
 
 
 class FixpointError(RuntimeError):
@@ -23,10 +23,14 @@ def transitive_closure(edges: DataFrame, rounds: int = 40, two_hop: bool = False
     for _ in range(rounds):
         right = known.select(F.col("a").alias("via"), F.col("b").alias("to"))
         longer = fresh.join(right, fresh["b"] == right["via"]).select("a", F.col("to").alias("b")).distinct()
-        fresh = saved(longer.join(known, ["a", "b"], "left_anti"), "closure-new")
+        before, fresh = fresh, saved(longer.join(known, ["a", "b"], "left_anti"), "closure-new")
+        if before is not known:
+            discard(before)
         if fresh.isEmpty():
+            discard(fresh)
             return known
-        known = saved(known.unionByName(fresh), "closure")
+        smaller, known = known, saved(known.unionByName(fresh), "closure")
+        discard(smaller)
         if two_hop:
             return known
     raise FixpointError(f"no closure in {rounds} rounds")
@@ -40,10 +44,15 @@ def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataF
     known: DataFrame | None = None
     for _ in range(rounds):
         met = front.join(step, front["b"] == step["via"]).select("a", F.col("to").alias("b")).distinct()
-        front = saved(met if known is None else met.join(known, ["a", "b"], "left_anti"), "front")
+        before, front = front, saved(met if known is None else met.join(known, ["a", "b"], "left_anti"), "front")
+        if before is not known:
+            discard(before)
         if front.isEmpty():
+            discard(step)
             return front if known is None else known
-        known = front if known is None else saved(known.unionByName(front), "reached")
+        smaller, known = known, front if known is None else saved(known.unionByName(front), "reached")
+        if smaller is not front and smaller is not before:
+            discard(smaller)
     raise FixpointError(f"not all reached in {rounds} rounds")
 
 
@@ -52,14 +61,17 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     both = links.select("a", "b").union(links.select("b", "a")).where("a is not null and b is not null").distinct()
     edges = saved(both, "links")
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component"))
-    labels = saved(labels, "labels")
+    labels, older = saved(labels, "labels"), None
     for _ in range(rounds):
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("lower"))
         jump = labels.select(F.col("node").alias("at"), F.col("component").alias("jump"))
         found = lower.join(jump, lower["lower"] == jump["at"]).select("node", F.least("lower", "jump").alias("component"), (F.least("lower", "jump") < F.col("component")).alias("moved"))
-        found = saved(found, "labels")
-        labels = found.select("node", "component")
-        if found.where("moved").isEmpty():
+        before, table = labels, saved(found, "labels")
+        labels = table.select("node", "component")
+        discard(before, older)
+        older = table
+        if table.where("moved").isEmpty():
+            discard(edges)
             return labels
     raise FixpointError(f"components did not settle in {rounds} rounds")
