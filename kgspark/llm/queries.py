@@ -28,12 +28,20 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir)).select(*names)
 
 
-def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_ranges(found: DataFrame) -> DataFrame:
     ranges = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["first"], x["behind"])), ",").alias(c)
-    found = chat.preferences(*chat.swapped_answers(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     return found.select("pair_id", "n_prompt_turns", "prompt", "chosen", ranges("chosen_mask"), "rejected", ranges("rejected_mask"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_ranges(chat.preferences(*chat.swapped_answers(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op4_chat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every conversation; op4_chat pairs only conv_id XOR 1, as its SQL does."""
+    return with_ranges(chat.preferences(*chat.branched(spark.read.parquet(f"{sf_dir}/conversations.parquet")), one_sided=True))
+
+
 def op5_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/kgspark-store-{uuid.uuid4().hex}"
     store.write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)

@@ -56,6 +56,64 @@ def test_swapped_answers_pair_neighbours(spark):
     assert got[0]["prompt"] == "<|user|>\nq<|end|>\n" and "A" in got[0]["chosen"] and "B" in got[0]["rejected"]
 
 
+def brute_branched(rows):
+    own = {}
+    for c, *t in rows:
+        if c is not None:
+            own.setdefault(c, []).append((t[0], t[1] or "user", t[2] or ""))
+    own = {c: sorted(t) for c, t in own.items()}
+    answers = lambda c: [i for i, t in enumerate(own[c]) if t[1] == "assistant"]
+    ids = sorted(c for c in own if answers(c))
+    want = {}
+    for c, turns in own.items():
+        other = ids[(ids.index(c) + 1) % len(ids)] if c in ids else c
+        if other == c:
+            clean = [(r, x.replace("<|", "< |")) for _, r, x in turns]
+            want[c] = (len(turns), "".join(f"<|{r}|>\n{x}<|end|>\n" for r, x in clean), None, None, None, None)
+        else:
+            k = c % min(len(answers(c)), len(answers(other)))
+            both = turns, turns[: answers(c)[k]] + own[other][answers(other)[k] :]
+            want[c] = brute_pair(*([(i, r, x) for i, (_, r, x) in enumerate(t)] for t in both))
+    return want
+
+
+def check_branched(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    spans = lambda m: m and [(x["first"], x["behind"]) for x in m]
+    found = chat.preferences(*chat.branched(df), one_sided=True)
+    got = found.collect()
+    assert "Python" not in found._jdf.queryExecution().optimizedPlan().toString()
+    mine = {r["pair_id"]: (r["n_prompt_turns"], r["prompt"], r["chosen"], spans(r["chosen_mask"]), r["rejected"], spans(r["rejected_mask"])) for r in got}
+    assert len(got) == len(mine) and mine == brute_branched(rows)
+    return mine
+
+
+def test_branched_gives_every_conversation_a_row(spark):
+    rng = random.Random(9)
+    rows = [(None, 0, "assistant", "D"), (7, 0, "user", "alone"), (-5, 0, "assistant", "C <| c"), (1 << 60, 3, "assistant", "far"), (1 << 60, 4, "user", "trailing")]
+    for c in rng.sample(range(300), 80):
+        rows += [(1000 + c, i, rng.choice(["user", "assistant", "system", None]), rng.choice(["hi", "yes", "", None, "é日", "a <|end|> b"])) for i in range(1 + rng.randrange(7))]
+    got = check_branched(spark, rows)
+    assert set(got) == {r[0] for r in rows} - {None}
+    shared = {r[0] for r in got.values() if r[2] is not None}
+    assert len(shared) > 2 and got[7][2] is None and got[1 << 60][2].endswith("trailing<|end|>\n")
+    # a copy of the next conversation: the search goes on to the last common turn, far behind the branch
+    same = [(c, i, "assistant" if i % 2 else "user", f"t{i}") for c in (0, 4) for i in range(6)]
+    assert {r[0] for r in check_branched(spark, same).values()} == {5}
+    check_branched(spark, same[:6])
+    df = spark.createDataFrame(same, "conv_id long, turn long, role string, text string")
+    assert chat.preferences(*chat.branched(df.limit(0)), one_sided=True).count() == 0
+    assert chat.preferences(*chat.branched(df.where("turn = 0")), one_sided=True).count() == 2
+
+
+def test_op4_chat_all_on_tables(spark):
+    from kgspark.llm import queries
+
+    n = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id").distinct().count()
+    got = queries.op4_chat_all(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len({r["pair_id"] for r in got}) == n > queries.op4_chat(spark, "/root/testdata/sf0.01").count()
+
+
 def documents(spark):
     rng = random.Random(6)
     rows, texts = [], []
