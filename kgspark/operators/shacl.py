@@ -1,4 +1,9 @@
-"""SHACL: shapes are read to the driver, each constraint becomes one table of violations, all are united."""
+"""SHACL: shapes are read to the driver, each constraint becomes one table of violations, all are united.
+
+Shapes within shapes (node, property, and, or, not, xone, qualifiedValueShape) are evaluated on the values of
+the outer one, literals included, and give one violation a value. Shapes that contain themselves raise, and
+so does a predicate of the vocabulary on a shape that is not evaluated here.
+"""
 
 from __future__ import annotations
 
@@ -46,9 +51,15 @@ class NodeShape:
 PARAMETERS = {
     "class": "text", "datatype": "text", "nodeKind": "text", "minCount": "number", "maxCount": "number", "minLength": "number", "maxLength": "number", "pattern": "text", "hasValue": "text", "in": "list",
     "languageIn": "list", "uniqueLang": "text", "equals": "text", "disjoint": "text", "lessThan": "text", "lessThanOrEquals": "text", "minInclusive": "text", "maxInclusive": "text", "minExclusive": "text", "maxExclusive": "text",
-    "node": "shape", "qualifiedValueShape": "shape",
+    "node": "shape", "not": "shape", "and": "shapes", "or": "shapes", "xone": "shapes", "qualifiedValueShape": "shape",
 }
 
+#: What else a shape may have: read beside the constraints, or without a say in whether a graph conforms.
+BESIDE = set(
+    "path property targetClass targetNode targetSubjectsOf targetObjectsOf severity message name description order group defaultValue deactivated flags "
+    "qualifiedMinCount qualifiedMaxCount qualifiedValueShapesDisjoint closed ignoredProperties sparql".split()
+)
+
 
 def path_text(path: S.Path) -> str:
     match path:
@@ -96,8 +107,47 @@ def load_shapes(quads: DataFrame, limit: int = 100_000) -> list[NodeShape]:
                 return S.Repeat(read_path(own[key][0]), least, many)
         return node
 
+    true = lambda own, key: own.get(key, [""])[0] in ("true", "1")
+    open_shapes: list[str] = []
+
+    def inner(node: str) -> NodeShape:
+        """The shape as one to evaluate on the values of another; a property shape becomes its only property."""
+        own = by.get(node, {})
+        if node in open_shapes:
+            raise ValueError(f"the shape {node} contains itself")
+        if true(own, "deactivated"):
+            return NodeShape(node)
+        if "path" in own:
+            return NodeShape(node, properties=[read_property(node)])
+        open_shapes.append(node)
+        out = NodeShape(node, constraints=constraints(node), properties=properties(own))
+        open_shapes.pop()
+        return out
+
+    def read_property(node: str) -> PropertyShape:
+        own = by.get(node, {})
+        if "path" not in own:
+            raise ValueError(f"the property shape {node} has no sh:path")
+        if node in open_shapes:
+            raise ValueError(f"the shape {node} contains itself")
+        open_shapes.append(node)
+        nested = [Constraint("property", [NodeShape(node, properties=[x])]) for x in properties(own)]
+        out = PropertyShape(read_path(own["path"][0]), constraints(node) + nested, severity(own), own.get("message", [None])[0])
+        open_shapes.pop()
+        return out
+
+    def properties(own: dict[str, list[str]]) -> list[PropertyShape]:
+        return [read_property(p) for p in own.get("property", []) if not true(by.get(p, {}), "deactivated")]
+
+    def siblings(node: str, value: str) -> list[NodeShape]:
+        """The other qualified shapes beside the property shape, in all shapes that have it."""
+        beside = {x for own in by.values() if node in own.get("property", []) for p in own["property"] for x in by.get(p, {}).get("qualifiedValueShape", [])}
+        return [inner(x) for x in sorted(beside - {value})]
+
     def constraints(node: str) -> list[Constraint]:
         own, out = by.get(node, {}), []
+        if unknown := sorted(set(own) - set(PARAMETERS) - BESIDE - {"type", "first", "rest"}):
+            raise ValueError(f"the shape {node} has sh:{unknown[0]}, which is not evaluated")
         for name, form in PARAMETERS.items():
             for value in own.get(name, []):
                 if form == "list":
@@ -108,15 +158,22 @@ def load_shapes(quads: DataFrame, limit: int = 100_000) -> list[NodeShape]:
                     out.append(Constraint(name, value, own.get("flags", [""])[0]))
                 elif name == "qualifiedValueShape":
                     number = lambda k: int(own[k][0]) if k in own else None
-                    out.append(Constraint(name, (constraints(value), number("qualifiedMinCount"), number("qualifiedMaxCount"))))
+                    others = siblings(node, value) if true(own, "qualifiedValueShapesDisjoint") else []
+                    out.append(Constraint(name, (inner(value), number("qualifiedMinCount"), number("qualifiedMaxCount"), others)))
                 elif form == "shape":
-                    out.append(Constraint(name, constraints(value)))
+                    out.append(Constraint(name, [inner(value)]))
+                elif form == "shapes":
+                    out.append(Constraint(name, [inner(x) for x in items(value)]))
                 else:
                     out.append(Constraint(name, value))
-        if own.get("closed", [""])[0] in ("true", "1"):
+        if true(own, "closed"):
             allowed = [by[p]["path"][0] for p in own.get("property", []) if p in by and "path" in by[p]]
             out.append(Constraint("closed", (allowed, items(own["ignoredProperties"][0]) if "ignoredProperties" in own else [])))
-        out += [Constraint("sparql", by[x]["select"][0]) for x in own.get("sparql", []) if "select" in by.get(x, {})]
+        for x in own.get("sparql", []):
+            if "select" not in by.get(x, {}):
+                raise ValueError(f"the constraint {x} of {node} has no sh:select")
+            if not true(by[x], "deactivated"):
+                out.append(Constraint("sparql", by[x]["select"][0]))
         return out
 
     severity = lambda own: own.get("severity", [SH + "Violation"])[0].removeprefix(SH).lower()
@@ -125,13 +182,9 @@ def load_shapes(quads: DataFrame, limit: int = 100_000) -> list[NodeShape]:
         targets = [(kind, x) for kind, key in (("class", "targetClass"), ("node", "targetNode"), ("subjectsOf", "targetSubjectsOf"), ("objectsOf", "targetObjectsOf")) for x in own.get(key, [])]
         if not targets and SH + "NodeShape" not in own.get("type", []):
             continue
-        shape = NodeShape(node, targets, constraints(node), severity=severity(own))
-        for p in own.get("property", []):
-            inner = by.get(p, {})
-            if "path" not in inner:
-                raise ValueError(f"the property shape {p} has no sh:path")
-            shape.properties.append(PropertyShape(read_path(inner["path"][0]), constraints(p), severity(inner), inner.get("message", [None])[0]))
-        shapes.append(shape)
+        if not true(own, "deactivated"):
+            found = inner(node)
+            shapes.append(NodeShape(node, targets, found.constraints, found.properties, severity(own)))
     return shapes
 
 
@@ -251,15 +304,18 @@ class Validator:
                 bound = float(c.value)
                 ok = {"minInclusive": n >= bound, "maxInclusive": n <= bound, "minExclusive": n > bound, "maxExclusive": n < bound}[c.component]
                 return values.where(~F.coalesce(ok, F.lit(False)))
-            case "node":
-                as_focus = values.select(F.col("v").alias("focus")).distinct()
-                bad = [self.failing(x, *self.as_nodes(as_focus)).select("focus") for x in c.value]
-                return values.join(reduce(DataFrame.union, bad).distinct().withColumnRenamed("focus", "v"), "v", "left_semi") if bad else values.limit(0)
+            case "node" | "property" | "and" | "or" | "not" | "xone":
+                inner = self.inner(c.value)
+                keyed, bad = self.breaking(values, inner)
+                n = F.coalesce("n_bad", F.lit(0))
+                broken = {"or": n == len(inner), "not": n == 0, "xone": n != len(inner) - 1}.get(c.component, n > 0)
+                return keyed.join(bad, "id", "left").where(broken).select(values.columns)
             case "qualifiedValueShape":
-                inner, least, most = c.value
-                as_focus = values.select(F.col("v").alias("focus")).distinct()
-                bad = [self.failing(x, *self.as_nodes(as_focus)).select(F.col("focus").alias("v")) for x in inner]
-                good = values.join(reduce(DataFrame.union, bad).distinct(), "v", "left_anti") if bad else values
+                inner, least, most, *others = c.value
+                keyed, bad = self.breaking(values, self.inner(inner))
+                good = keyed.join(bad, "id", "left_anti")
+                for other in others[0] if others else []:
+                    good = good.join(self.breaking(values, [other])[1], "id", "left_semi")
                 counted = focus.join(good.groupBy("focus").agg(F.count("*").alias("m")), "focus", "left").select("focus", F.coalesce("m", F.lit(0)).alias("m"))
                 return counted.where((F.col("m") < (least or 0)) | (F.col("m") > most if most is not None else F.lit(False))).select("focus")
             case "closed":
@@ -272,6 +328,28 @@ class Validator:
                 return named.join(focus, "focus", "left_semi")
         raise ValueError(f"unknown constraint {c.component}")
 
+    def inner(self, value: NodeShape | list) -> list[NodeShape]:
+        """The shapes of a constraint's value: shapes, a shape, or the bare constraints of one."""
+        if isinstance(value, NodeShape):
+            return [value]
+        return list(value) if value and isinstance(value[0], NodeShape) else [NodeShape("", constraints=list(value))]
+
+    def breaking(self, values: DataFrame, shapes: list[NodeShape]) -> tuple[DataFrame, DataFrame]:
+        """The values with an id by term, and (id, n_bad): how many of the shapes a value does not conform to, if any."""
+        text = F.concat(F.lit('"'), F.col("v"), F.lit('"^^'), F.coalesce("d", F.lit("")), F.lit("@"), F.coalesce("l", F.lit("")))
+        keyed = values.withColumn("id", F.when(F.col("k") == "literal", text).otherwise(F.col("v")))
+        nodes = keyed.select(F.col("id").alias("focus"), *"vkdln").dropDuplicates(["focus"])
+        focus = nodes.select("focus")
+        bad = []
+        for shape in shapes:
+            found = [self.failing(c, nodes, focus).select("focus") for c in shape.constraints]
+            for p in shape.properties:
+                reached = self.values(focus, p.path)
+                found += [self.failing(c, reached, focus).select("focus") for c in p.constraints]
+            bad += [reduce(DataFrame.union, found).distinct()] if found else []
+        none = focus.limit(0)
+        return keyed, reduce(DataFrame.union, bad, none).groupBy(F.col("focus").alias("id")).agg(F.count("*").alias("n_bad"))
+
     def as_nodes(self, focus: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Focus nodes as their own values."""
         kind = F.when(F.col("focus").startswith("_:"), "bnode").otherwise("iri")

@@ -6,7 +6,7 @@ from kgspark.operators import owl, rdfs, shacl
 from kgspark.operators.closure import FixpointError, components, reachable, transitive_closure
 from kgspark.plans.syntax import Inverse
 from kgspark.sources.mapping import QuadGraph
-from kgspark.terms import DOMAIN, EX, INTEGER, OWL, RANGE, RDF, SH, STRING, SUBCLASS, SUBPROPERTY, TYPE, quads_of
+from kgspark.terms import BOOLEAN, DOMAIN, EX, INTEGER, OWL, RANGE, RDF, SH, STRING, SUBCLASS, SUBPROPERTY, TYPE, quads_of
 
 e = lambda *names: [EX + n for n in names]
 
@@ -175,3 +175,58 @@ def test_shapes_graph_and_modes(spark, data):
     assert shacl.counts_by_severity(report).first()["severity"] == "violation"
     with pytest.raises(ValueError, match="path"):
         shacl.load_shapes(quads_of(spark, [("_:s", SH + "targetClass", EX + "P"), ("_:s", SH + "property", "_:p")]))
+
+
+def shapes_of(spark, *rows):
+    """A node shape on hands, and rows (s, p, o) where p is of the vocabulary and a list o becomes an RDF list."""
+    out = [("_:s", SH + "targetClass", EX + "Hand")]
+    for i, (s, p, o) in enumerate(rows):
+        if isinstance(o, list):
+            for j, x in enumerate(o):
+                out += [(f"_:l{i}-{j}", RDF + "first", x), (f"_:l{i}-{j}", RDF + "rest", f"_:l{i}-{j + 1}" if j + 1 < len(o) else RDF + "nil")]
+            o = f"_:l{i}-0"
+        out.append((s, SH + p, o))
+    return shacl.load_shapes(quads_of(spark, out))
+
+
+HAS = lambda name, path, n: [(name, "path", EX + path), (name, "minCount", (str(n), INTEGER))]
+HAND = [("_:s", "property", "_:p"), ("_:p", "path", EX + "digit")]
+QUALIFIED = lambda p, shape, least, most: [("_:s", "property", p), (p, "path", EX + "digit"), (p, "qualifiedValueShape", shape), (p, "qualifiedMinCount", (str(least), INTEGER)), (p, "qualifiedMaxCount", (str(most), INTEGER))]
+THUMB, FINGER = [("_:thumb", "class", EX + "Thumb")], [("_:finger", "class", EX + "Finger")]
+DISJOINT = [("_:p", "qualifiedValueShapesDisjoint", ("true", BOOLEAN)), ("_:q", "qualifiedValueShapesDisjoint", ("true", BOOLEAN))]
+NESTED = [
+    ("and", [*HAS("_:a", "left", 1), *HAS("_:b", "right", 1), ("_:s", "and", ["_:a", "_:b"])], {"h1", "h2", "h4"}),
+    ("or", [*HAS("_:a", "left", 1), *HAS("_:b", "right", 1), ("_:s", "or", ["_:a", "_:b"])], {"h4"}),
+    ("xone", [*HAS("_:a", "left", 1), *HAS("_:b", "right", 1), ("_:s", "xone", ["_:a", "_:b"])], {"h3", "h4"}),
+    ("not", [*HAS("_:a", "left", 1), ("_:s", "not", "_:a")], {"h1", "h3"}),
+    ("not of or", [*HAS("_:a", "left", 1), *HAS("_:b", "right", 1), ("_:s", "not", "_:o"), ("_:o", "or", ["_:a", "_:b"])], {"h1", "h2", "h3"}),
+    ("or of literals", [("_:s", "property", "_:p"), ("_:p", "path", EX + "left"), ("_:p", "or", ["_:i", "_:t"]), ("_:i", "datatype", INTEGER), ("_:t", "in", [("x",)])], {"h3"}),
+    ("node with a property", [*HAND, ("_:p", "node", "_:n"), ("_:n", "property", "_:m"), *HAS("_:m", "nail", 1)], {"h2"}),
+    ("property in a property", [*HAND, ("_:p", "property", "_:m"), *HAS("_:m", "nail", 1)], {"h2"}),
+    ("qualified with a property", [*QUALIFIED("_:p", "_:n", 2, 9), ("_:n", "property", "_:m"), *HAS("_:m", "nail", 1)], {"h2", "h3", "h4"}),
+    ("qualified", [*QUALIFIED("_:p", "_:thumb", 1, 1), *QUALIFIED("_:q", "_:finger", 1, 4), *THUMB, *FINGER], {"h3", "h4"}),
+    ("qualified, disjoint", [*QUALIFIED("_:p", "_:thumb", 1, 1), *QUALIFIED("_:q", "_:finger", 1, 4), *THUMB, *FINGER, *DISJOINT], {"h2", "h3", "h4"}),
+    ("deactivated", [*HAND, ("_:p", "minCount", ("9", INTEGER)), ("_:p", "deactivated", ("true", BOOLEAN))], set()),
+]
+
+
+@pytest.mark.parametrize("rows,bad", [c[1:] for c in NESTED], ids=[c[0] for c in NESTED])
+def test_shapes_within_shapes(spark, rows, bad):
+    triples = [(EX + f"h{i}", TYPE, EX + "Hand") for i in range(1, 5)]
+    triples += [(EX + "h1", EX + "left", ("1", INTEGER)), (EX + "h2", EX + "right", ("1", INTEGER)), (EX + "h3", EX + "left", ("y",)), (EX + "h3", EX + "right", ("x",))]
+    triples += [(EX + h, EX + "digit", EX + d) for h, d in (("h1", "t1"), ("h1", "f1"), ("h2", "both"), ("h2", "f1"), ("h3", "f1"))]
+    triples += [(EX + d, TYPE, EX + t) for d, t in (("t1", "Thumb"), ("f1", "Finger"), ("both", "Thumb"), ("both", "Finger"))]
+    triples += [(EX + d, EX + "nail", (d,)) for d in ("t1", "f1")]
+    report = shacl.validate(quads_of(spark, triples), shapes_of(spark, *rows)).collect()
+    assert {r["focus_node"].replace(EX, "") for r in report} == bad
+
+
+def test_shapes_that_are_not_evaluated_raise(spark):
+    for rows, what in (
+        ([("_:s", "expression", "_:e")], "sh:expression"), ([*HAND, ("_:p", "node", "_:n"), ("_:n", "js", "_:j")], "sh:js"), ([("_:s", "sparql", "_:q"), ("_:q", "ask", ("ASK {}",))], "sh:select"),
+        ([("_:s", "node", "_:n"), ("_:n", "property", "_:m"), ("_:m", "path", EX + "x"), ("_:m", "node", "_:n")], "itself"),
+    ):
+        with pytest.raises(ValueError, match=what):
+            shapes_of(spark, *rows)
+    own = shapes_of(spark, ("_:s", "path", EX + "digit"), ("_:s", "minCount", ("1", INTEGER)))
+    assert [c.component for c in own[0].properties[0].constraints] == ["minCount"] and not own[0].constraints
