@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.checkpoints import discard, saved
 from kgspark.terms import BOOLEAN, DOUBLE, INTEGER, LANG_STRING, RDF, RDFS, STRING, TYPE, as_quads, node_kind
 
 #: One statement of a line: subject, predicate, object and, in N-Quads, a graph.
@@ -65,8 +68,10 @@ def to_ntriples(quads: DataFrame) -> DataFrame:
 
 def parse_jsonld(documents: DataFrame, column: str = "value", depth: int = 3) -> DataFrame:
     """Quads of JSON-LD documents, one a row: @graph or a single node, @id, @type, scalars, arrays, {"@id"},
-    {"@value", "@type", "@language"} and nested nodes down to `depth`; terms by @vocab and prefixes of @context.
+    {"@value", "@type", "@language"} and nested nodes; terms by @vocab and prefixes of @context.
 
+    One plan expands `depth` levels; nodes below are written and expanded by the next plan until none are
+    left. A stream, which has one plan only, fails on nodes with contents below `depth`.
     Nodes without @id become blank nodes named by a hash of their document and place.
     """
     doc = F.col(column)
@@ -89,7 +94,7 @@ def parse_jsonld(documents: DataFrame, column: str = "value", depth: int = 3) ->
 
     out = None
     level = each.select("context", "node", F.coalesce(expanded_id(F.get_json_object("node", "$.@id"), expanded), mark(F.col("doc"), F.col("at").cast("string"))).alias("s"))
-    for turn in range(depth):
+    for turn in count(1):
         fields = level.select("context", "s", F.explode(F.from_json("node", "map<string,string>")).alias("key", "raw")).where(~F.col("key").isin("@id", "@context", "@graph"))
         many = F.when(F.col("raw").startswith("[") & F.from_json("raw", "array<string>").isNotNull(), F.from_json("raw", "array<string>")).otherwise(F.array("raw"))
         values = fields.select("context", "s", "key", F.posexplode(many).alias("i", "v")).where("v is not null")
@@ -100,13 +105,23 @@ def parse_jsonld(documents: DataFrame, column: str = "value", depth: int = 3) ->
         nested = inner & value.isNull()
         plain_dt = F.when(F.col("v").isin("true", "false"), BOOLEAN).when(F.col("v").rlike(r"^-?\d+$"), INTEGER).when(F.col("v").rlike(r"^-?\d+\.\d+([eE][+-]?\d+)?$"), DOUBLE).otherwise(STRING)
         o = F.when(is_type, expanded(F.col("v"))).when(nested, F.coalesce(expanded_id(given, expanded), mark(F.col("s"), F.col("key"), F.col("i").cast("string"), F.col("v")))).when(inner, value).otherwise(F.col("v"))
+        if last := documents.isStreaming and turn == depth:
+            lost = nested & F.exists(F.map_keys(F.from_json("v", "map<string,string>")), lambda x: ~x.isin("@id", "@context", "@graph"))
+            o = F.when(lost, F.raise_error(F.lit(f"JSON-LD nodes are nested below {depth} levels"))).otherwise(o)
         o_dt = F.when(is_type | nested, F.lit("")).when(inner & lang.isNotNull(), F.lit(LANG_STRING)).when(inner, F.coalesce(expanded(dt), F.lit(STRING))).otherwise(plain_dt)
         rows = values.select(
             "context", "s", "v", nested.alias("nested"), F.when(is_type, F.lit(TYPE)).otherwise(expanded(F.col("key"))).alias("p"), o.alias("o"), o_dt.alias("o_dt"), F.when(inner & lang.isNotNull(), F.lower(lang)).otherwise(F.lit("")).alias("o_lang"), (is_type | nested).alias("is_node")
         )
         quads = rows.select("s", "p", "o", F.when(F.col("is_node"), node_kind(F.col("o"))).otherwise(F.lit("literal")).alias("o_kind"), "o_dt", "o_lang")
         out = quads if out is None else out.unionByName(quads)
+        if last:
+            break
         level = rows.where("nested").select("context", F.col("v").alias("node"), F.col("o").alias("s"))
+        if turn % depth == 0:
+            level = saved(level, "jsonld")
+            if level.isEmpty():
+                discard(level)
+                break
     return as_quads(out)
 
 

@@ -130,6 +130,26 @@ def test_jsonld(spark):
     assert [r["o"] for r in q.where("p = 'http://v.org/city'").collect()] == ["Rome"]
 
 
+def test_jsonld_nested_to_any_depth(spark, tmp_path):
+    def nested(n):
+        return {"name": f"n{n}", "has": nested(n + 1)} if n < 8 else {"name": "n8"}
+
+    value = json.dumps({"@context": {"@vocab": "http://v.org/"}, "@id": "http://v.org/root", "has": nested(1)})
+    q = formats.parse_jsonld(spark.createDataFrame([(value,), ("{}",)], "value string")).cache()
+    names = {r["s"]: r["o"] for r in q.where("p = 'http://v.org/name'").collect()}
+    has = {r["s"]: r["o"] for r in q.where("p = 'http://v.org/has'").collect()}
+    at, seen = "http://v.org/root", []
+    while at in has:
+        at = has[at]
+        seen.append(names[at])
+    assert seen == [f"n{i}" for i in range(1, 9)] and q.count() == 16
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(value)
+    stream = formats.parse_jsonld(spark.readStream.text(f"{tmp_path}/in"))
+    with pytest.raises(Exception, match="below 3 levels"):
+        stream.writeStream.format("memory").queryName("deep").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+
+
 def test_store(spark, tmp_path):
     store = QuadStore(spark, f"file://{tmp_path}/store")
     assert store.quads().count() == 0
