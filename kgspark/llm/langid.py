@@ -10,13 +10,15 @@ Null texts and texts without a letter are `und` with score 0 and are rejected. D
 language or id, or under `least_letters` bytes of letters, teach nothing. With no documents to learn from, every text is
 `und`. Repeated rows count as often as they stand. A table without rows gives none.
 
-Bounds of what is learned from: `sample` documents of each language, those with the smallest hashes of
-their ids, and the `languages` most frequent languages. Document frequencies count every document.
+Every language is learned, each in a task of its own that sends the driver its centroids. It is learned
+from at most `sample` documents, those with the smallest hashes of their ids among the ones with enough
+letters. Document frequencies count every document.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,46 +86,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(labelled: DataFrame, sample: int = 400, clusters: int = 4, languages: int = 64, least_letters: int = 40, slack: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def learn(labelled: DataFrame, sample: int = 400, clusters: int = 4, least_letters: int = 40, slack: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model from all rows of labelled, which holds no row that is kept for judging."""
     own = labelled.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("doc_id is not null and text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(WIDTH, np.int64), 0
+        """Documents by trigram, their number, and by language those with enough letters to learn from."""
+        seen, n, able = np.zeros(WIDTH, np.int64), 0, Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen += trigrams(t) > 0
+            for t, own_lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                grams = trigrams(t)
+                seen += grams > 0
                 n += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(WIDTH + 1), pa.int32()), pa.array([*seen.tolist(), n], pa.int64())], names=["gram", "docs"])
+                able[own_lang] += int(grams.sum() >= least_letters)
+        langs = sorted(able)
+        columns = [pa.array([*range(WIDTH + 1), *[-1] * len(langs)], pa.int32()), pa.array([None] * (WIDTH + 1) + langs, pa.string()), pa.array([*seen.tolist(), n, *(able[k] for k in langs)], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["gram", "lang", "docs"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [trigrams(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.astype("<u4").tobytes() for r in rows], pa.binary())], names=["mark", "lang", "counts"])
+            enough = [i for i, r in enumerate(rows) if r.sum() >= least_letters]
+            kept = pa.array(enough, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array([rows[i].astype("<u4").tobytes() for i in enough], pa.binary())], names=["mark", "lang", "counts"])
 
     tune(labelled.sparkSession)
-    seen = np.zeros(WIDTH + 1)
-    for r in own.select("text").mapInArrow(frequencies, "gram int, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).collect():
-        seen[r["gram"]] = r["docs"]
+    seen, counts = np.zeros(WIDTH + 1), {}
+    for r in own.select("text", "lang").mapInArrow(frequencies, "gram int, lang string, docs long").groupBy("gram", "lang").agg(F.sum("docs").alias("docs")).collect():
+        if r["lang"] is None:
+            seen[r["gram"]] = r["docs"]
+        elif r["docs"]:
+            counts[r["lang"]] = r["docs"]
     weights = (np.log((1 + seen[WIDTH]) / (1 + seen[:WIDTH])) + 1).astype(np.float32)
     model = Model(weights, np.zeros((0, WIDTH), np.float32), [], np.zeros(0))
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, (1.5 * sample + 50) / n) * (1 << 30))))) if counts else F.lit(None)
     picked = own.where(mark < share[F.col("lang")]) if counts else own.limit(0)
-    rows = sorted((r["lang"], r["mark"], bytes(r["counts"])) for r in picked.select(mark.alias("mark"), "lang", "text").mapInArrow(vectors, "mark long, lang string, counts binary").collect())
-    centroids, bounds = [], []
-    for language in sorted(counts):
-        x = np.array([np.frombuffer(c, "<u4") for k, _, c in rows if k == language][: 2 * sample], np.float32).reshape(-1, WIDTH)
-        x = x[x.sum(1) >= least_letters][:sample]
-        if not len(x):
-            continue
-        x = np.sqrt(x) * weights
+
+    def centroids_of(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("mark").to_pylist(), table.column("counts").to_pylist(), strict=True))[:sample]
+        x = np.sqrt(np.array([np.frombuffer(c, "<u4") for _, c in rows], np.float32)) * weights
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         c = clustered(x, clusters)
-        centroids.append(c)
-        model.languages += [language] * len(c)
-        bounds += [slack * float(np.quantile((x @ c.T).max(1), 0.005))] * len(c)
+        bound = slack * float(np.quantile((x @ c.T).max(1), 0.005))
+        lang = table.column("lang")[0].as_py()
+        return pa.table([pa.array([lang] * len(c), pa.string()), pa.array([r.astype("<f4").tobytes() for r in c], pa.binary()), pa.array([bound] * len(c), pa.float64())], names=["lang", "centroid", "bound"])
+
+    sampled = picked.select(mark.alias("mark"), "lang", "text").mapInArrow(vectors, "mark long, lang string, counts binary")
+    found = sorted(tuple(r) for r in sampled.groupBy("lang").applyInArrow(centroids_of, "lang string, centroid binary, bound double").collect())
+    centroids = [np.frombuffer(c, "<f4").reshape(1, WIDTH) for _, c, _ in found]
+    model.languages, bounds = [lang for lang, _, _ in found], [bound for _, _, bound in found]
     if centroids:
         model.centroids, model.bounds = np.concatenate(centroids).astype(np.float32), np.array(bounds)
     return model

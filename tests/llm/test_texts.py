@@ -160,6 +160,19 @@ def test_registers_merge_and_estimate():
 
 
 # Language.
+def test_langid_learns_every_language_from_its_long_rows(spark):
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = {f"l{i:02}": rng.sample(letters, 5) for i in range(70)}
+    said = lambda k, n: " ".join("".join(rng.choice(alphabets[k]) for _ in range(4)) for _ in range(n))
+    rows = [(k, said(k, 60)) for k in alphabets for _ in range(3)]
+    rows += [("rare", "żółw ćma " * 12)] + [("rare", "ź")] * 300
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.learn(df, sample=3, clusters=2)
+    assert set(model.languages) == {*alphabets, "rare"}
+    assert model.predict(["żółw ćma " * 9])[0][0] == "rare"
+
+
 def test_language_of_held_out_texts(spark):
     rng = random.Random(1)
     own = {"en": ["the", "of", "and", "thing", "water"], "fr": ["le", "de", "et", "chose", "eau"], "de": ["der", "und", "nicht", "wasser", "straße"]}
