@@ -69,17 +69,34 @@ class Model:
         return out
 
 
-def clustered(x: np.ndarray, k: int, turns: int = 12) -> np.ndarray:
-    """Spherical k-means; starts from the mean and then from what is farthest from all chosen."""
-    chosen = [x[(x @ x.mean(0)).argmax()]]
-    while len(chosen) < min(k, len(x)):
-        chosen.append(x[(x @ np.array(chosen).T).max(1).argmin()])
-    c = np.array(chosen)
-    for _ in range(turns):
-        own = (x @ c.T).argmax(1)
-        c = np.array([x[own == i].mean(0) if (own == i).any() else c[i] for i in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+def clustered(x: np.ndarray, k: int, turns: int = 12, starts: int = 6, least: float = 0.05) -> np.ndarray:
+    """Spherical k-means from several k-means++ starts: the one with most clusters, then the nearest to its members.
+
+    A cluster under the share `least` of the rows is given up, the smallest first, and its rows go to the others.
+    """
+    rng = np.random.default_rng(0)
+
+    def settled(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for _ in range(turns):
+            own = (x @ c.T).argmax(1)
+            c = np.array([x[own == i].mean(0) if (own == i).any() else c[i] for i in range(len(c))])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        return c, np.bincount((x @ c.T).argmax(1), minlength=len(c))
+
+    best, found = (0, 0.0), x[:1]
+    for _ in range(starts):
+        chosen = [x[rng.integers(len(x))]]
+        while len(chosen) < min(k, len(x)):
+            far = np.maximum(1 - (x @ np.array(chosen).T).max(1), 0).astype(np.float64)
+            if far.sum() < 1e-4:
+                break
+            chosen.append(x[rng.choice(len(x), p=far / far.sum())])
+        c, sizes = settled(np.array(chosen))
+        while len(c) > 1 and sizes.min() < max(1, least * len(x)):
+            c, sizes = settled(np.delete(c, sizes.argmin(), 0))
+        if (mark := (len(c), float((x @ c.T).max(1).sum()))) > best:
+            best, found = mark, c
+    return found
 
 
 def held_out(doc_id: Column) -> Column:

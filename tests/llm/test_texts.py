@@ -160,6 +160,20 @@ def test_registers_merge_and_estimate():
 
 
 # Language.
+def test_centroids_stand_for_clusters_not_for_strays():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    middles = np.eye(40)[:4] * 3
+    x = np.concatenate([m + 0.3 * rng.random((60, 40)) for m in middles] + [np.eye(40)[20:23] * 3])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    c = langid.clustered(x, 4)
+    sizes = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+    assert len(c) == 4 and sizes.min() >= 60
+    assert {int(r.argmax()) for r in c} == {0, 1, 2, 3}
+    assert len(langid.clustered(x[:1], 4)) == 1 and len(langid.clustered(np.repeat(x[:1], 5, 0), 4)) == 1
+
+
 def test_langid_learns_every_language_from_its_long_rows(spark):
     rng = random.Random(17)
     letters = "abcdefghijklmnopqrstuvwxyz"
