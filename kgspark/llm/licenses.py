@@ -113,15 +113,16 @@ def evaluate(postfix: list[str]) -> tuple[float, list[str]]:
     return stack[0][0], list(dict.fromkeys(stack[0][1]))
 
 
-def read_expression(line: str) -> tuple[float, list[str]] | None:
-    """The longest expression at the start of the line, or None."""
+def read_expression(line: str) -> tuple[float, list[str], str] | None:
+    """Freedom, licences and postfix form of the longest expression at the start of the line, or None."""
     tokens, at = [], 0
     while m := TOKEN.match(line, at):
         tokens.append(m[1].rstrip(".") if m[1] not in "()" else m[1])
         at = m.end()
     while tokens:
         try:
-            return evaluate(to_postfix(tokens))
+            postfix = to_postfix(tokens)
+            return *evaluate(postfix), " ".join(postfix)
         except ExpressionError:
             tokens.pop()
     return None
@@ -140,8 +141,8 @@ class Scanner:
             self.found.add_word(words, (words.count(" ") - 1, what))
         self.found.make_automaton()
 
-    def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float, float | None]:
-        """n_words, n_base, first_word, last_word, base_labels, labels, score, freedom of the expressions."""
+    def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float, float | None, str]:
+        """n_words, n_base, first_word, last_word, base_labels, labels, score, freedom of the expressions, their postfix forms."""
         words = (text or "").encode().translate(SEPARATORS).split()
         line = f" {b' '.join(words).decode('latin-1')} "  # a character a byte: what counts is the blanks
         places, base, labels, weight, tagged = [], set(), set(), 1.0, False
@@ -154,21 +155,22 @@ class Scanner:
                     labels.add(label)
                 else:
                     tagged = True
-        free = None
+        free, forms = None, []
         if tagged:
             for m in TAG.finditer(text):
                 if read := read_expression(m[1]):
                     free = read[0] if free is None else min(free, read[0])
                     labels |= {f"spdx-{x}" for x in read[1]}
+                    forms.append(read[2])
                 else:
                     labels.add("spdx-invalid")
         for label in base | labels:
             weight *= 0.05 if label.startswith("spdx-") and label != "spdx-invalid" else 0.9 if label in ("notice-reserved", "spdx-invalid") else 0.4
-        return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 - weight, free
+        return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 - weight, free, ",".join(forms)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document. score: how sure it is that a licence is stated, 0 to 1; freedom: of the tagged expressions, or null."""
+    """A row for each document. score: how sure it is that a licence is stated, 0 to 1; freedom: the least of the tagged expressions, or null; postfix: their forms in order."""
 
     def make():
         scanner = Scanner()
@@ -176,6 +178,6 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     return map_rows(
         renamed(docs, {"doc_id": doc_id, "text": text}), ["doc_id", "text"], make,
-        "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, freedom double",
-        pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("freedom", pa.float64())]),
+        "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, freedom double, postfix string",
+        pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("freedom", pa.float64()), ("postfix", pa.string())]),
     )

@@ -57,7 +57,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = "doc_id n_words n_base first_word last_word base_labels labels score".split()
+    names = "doc_id n_words n_base first_word last_word base_labels labels score freedom postfix".split()
     return licenses.scan(documents(spark, sf_dir)).select(*names)
 
 

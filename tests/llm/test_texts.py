@@ -160,6 +160,16 @@ def test_registers_merge_and_estimate():
 
 
 # Language.
+def test_op8_shows_what_expressions_evaluate_to(spark, tmp_path):
+    from kgspark.llm import queries
+
+    rows = [(i, f"// SPDX-License-Identifier: {x}\ncode") for i, x in enumerate(["MIT OR GPL-2.0", "MIT AND GPL-2.0"])] + [(2, "no tag")]
+    frame(spark, rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_licenses(spark, str(tmp_path)).collect()}
+    assert got[0]["labels"] == got[1]["labels"] and got[0]["freedom"] > got[1]["freedom"]
+    assert [got[i]["postfix"] for i in range(3)] == ["mit gpl-2.0 or", "mit gpl-2.0 and", ""] and got[2]["freedom"] is None
+
+
 def test_centroids_stand_for_clusters_not_for_strays():
     import numpy as np
 
