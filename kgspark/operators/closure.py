@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.checkpoints import discard, saved
+from kgspark.checkpoints import counted, discard, saved, small
 
 
 class FixpointError(RuntimeError):
@@ -57,21 +57,42 @@ def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataF
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node of each connected component, for links (a, b)."""
+    """(node, component): the smallest node of each connected component, for links (a, b).
+
+    Each round takes the smallest label among a node's neighbours, then the label of that label, so paths
+    shrink by halves. Labels of few rows are broadcast, more are joined by a shuffle. A link with a null
+    end counts for nothing; no links give no rows.
+    """
     both = links.select("a", "b").union(links.select("b", "a")).where("a is not null and b is not null").distinct()
     edges = saved(both, "links")
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component"))
-    labels, older = saved(labels, "labels"), None
+    labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
     for _ in range(rounds):
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("lower"))
-        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("jump"))
-        found = lower.join(jump, lower["lower"] == jump["at"]).select("node", F.least("lower", "jump").alias("component"), (F.least("lower", "jump") < F.col("component")).alias("moved"))
-        before, table = labels, saved(found, "labels")
+        if not counted(labels):
+            return labels
+        near = edges.join(small(labels).select(F.col("node").alias("b"), F.col("component").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        lower = near.join(small(labels), "node").select("node", "component", F.least("component", "near").alias("lower"))
+        moved = lower.join(small(labels).select(F.col("node").alias("lower"), F.col("component").alias("jump")), "lower").select("node", F.least("lower", "jump").alias("component"), (F.least("lower", "jump") < F.col("component")).alias("moved"))
+        before, table = labels, saved(moved, "labels", moved=F.count_if("moved"))
         labels = table.select("node", "component")
-        discard(before, older)
-        older = table
-        if table.where("moved").isEmpty():
+        labels._saved_at, labels._seen = table._saved_at, table._seen
+        discard(before)
+        if not counted(table, "moved"):
             discard(edges)
             return labels
     raise FixpointError(f"components did not settle in {rounds} rounds")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of all links so far: labels (node, component) of the earlier ones, and the further links (a, b).
+
+    Only what the further links join is looked at again: a graph whose nodes are the earlier components.
+    """
+    of = lambda x: small(labels).select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(ends.where("a <> b"))
+    if not counted(joined):
+        return labels
+    to = small(joined).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    others = joined.join(small(labels).select("node"), "node", "left_anti")
+    return saved(known.unionByName(others.select("node", "component")), "labels")
