@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.llm import langid, neardup, packing, quality, substrings
-from kgspark.llm.common import documents, saved
+from kgspark.checkpoints import saved, scratch
+from kgspark.llm.common import documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
