@@ -6,7 +6,7 @@ one). A register holds the exponent, rounded down, of the smallest of the expone
 values of the set's elements: registers of a union are the larger ones of each pair, and two sets agree
 in a register with a probability near their Jaccard similarity. Bands of registers name buckets.
 
-Documents with equal sets are one class, under its smallest id, before anything is compared. Each class
+Documents with equal sets are one class, a node of the graph, before anything is compared. Each class
 is compared with the smallest of its bucket. In buckets that this leaves in several components, sizes bound
 what can still be linked: two documents that share no rare shingle share at most what neither has of
 rare ones. So pairs are first taken from the buckets, as far as that bound lets them reach the threshold:
@@ -18,27 +18,32 @@ errors under the bound; all others are confirmed on the full sets of their texts
 registers a pair at the bound of 0.8 shares no bucket with a chance of 5e-8.
 
 Null and empty texts have an empty set and are linked with nothing; so are rows with a null doc_id, whose
-component is null and which are kept. Rows of one doc_id are one document in what is linked; each row is
-returned. A table without rows gives none. Other columns are ignored.
+component is null and which are kept. Rows of one doc_id are one document in what is linked, each of its
+texts being compared by itself; each row is returned. A very long text is one set like any other, hashed
+in the task that reads it. Ties need no rule: a component has one smallest id. A table without rows gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, scratch, tune
-from .graph import components
+from kgspark.checkpoints import counted, saved, scratch, small
+from kgspark.operators import closure
+
+from .common import tune
 
 REGISTERS, ROWS = 128, 4
 #: A shingle is rare if at most so many of the documents that are left have it.
 RARE = 32
+#: Members of a bucket that are paired in one block.
+BLOCK = 256
 #: Base, rate and largest exponent of the registers.
 BASE, RATE, LIMIT = 1.001, 20.0, 65_535
 SEEDS = np.random.Generator(np.random.PCG64(20_240_229)).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,7 +97,7 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nda
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, two keys of the set, registers (null for an empty set)."""
+    """doc_id, mark, n_shingles, two keys of the set, registers (null for an empty set); docs has doc_id, text, mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,11 +105,11 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             full = [s for s in sets if len(s)]
             rows = iter(registers(full)) if full else iter(())
             marks = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist() if len(s) else (None, None) for s in sets]
-            own = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1)), pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "n_shingles", "key1", "key2", "registers"])
+            own = [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1)), pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "mark", "n_shingles", "key1", "key2", "registers"])
 
     tune(docs.sparkSession)
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, registers binary")
+    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, key1 long, key2 long, registers binary")
 
 
 def confirm(pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -139,104 +144,127 @@ def confirm(pairs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def each_shingle(texts: DataFrame, size: int) -> DataFrame:
-    """(rep, shingle) for each distinct shingle of these documents."""
+    """(node, shingle) for each distinct shingle of these documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))), pa.array(every.view(np.int64))], names=["rep", "shingle"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))), pa.array(every.view(np.int64))], names=["node", "shingle"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, shingle long")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingle long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lead_turns: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest id reachable by links), kept."""
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession, broadcast=False):
         return saved(_near_duplicates(docs, size, percent, lead_turns, doc_id, text), "near-duplicates", keep=True)
 
 
 def _near_duplicates(docs: DataFrame, size: int, percent: int, lead_turns: int, doc_id: str, text: str) -> DataFrame:
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    own = own.withColumn("mark", F.xxhash64("text"))  # tells the texts of one id apart
     sketches = saved(sketch(own, size), "sketches")
     known = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = saved(known.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min_by("registers", "doc_id").alias("registers")), "classes")
+    first = F.min(F.struct("doc_id", "mark")).alias("first")
+    sets = known.groupBy("key1", "key2").agg(first, F.min("n_shingles").alias("n"), F.min_by("registers", "doc_id").alias("registers"))
+    classes = saved(sets.select(F.monotonically_increasing_id().alias("node"), "key1", "key2", "first.doc_id", "first.mark", "n", "registers"), "classes")
+    again = saved(known.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("key1").alias("low"), F.max("key1").alias("high")).where("rows > 1"), "again", several=F.count_if(F.expr("low <> high")))
+
     width = 2 * ROWS
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * width + 1, F.lit(width)))))
-    bands = classes.select("rep", band.alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("hub")).where("members > 1").drop("members")
-    members = saved(bands.join(shared, "bucket"), "members")  # bucket, rep, hub
-    needed = members.select("rep").distinct()
-    texts = own.join(classes.join(needed, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "n", "registers"), "doc_id").dropDuplicates(["doc_id"])
-    texts = saved(texts, "texts")
+    bands = classes.select("node", "n", band.alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("hub"), F.min("n").alias("least")).where("members > 1").drop("members")
+    members = saved(bands.join(shared, "bucket"), "members")  # bucket, node, n, hub, least
+
+    def nodes_of(rows: DataFrame) -> DataFrame:
+        return saved(rows.select("node").distinct(), "nodes")
+
+    picked = saved(classes.join(small(nodes_of(members)), "node", "left_semi").select("node", "doc_id", "mark"), "picked")
+    texts = own.join(small(picked), ["doc_id", "mark"])
+    texts = texts.dropDuplicates(["doc_id", "mark"]) if counted(again) else texts
+    texts = saved(texts.select("node", "text").join(classes.select("node", "n", "registers"), "node"), "texts")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"), F.col("text").alias(f"text_{x}"))
+        side = lambda x: texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"), F.col("text").alias(f"text_{x}"))
         near = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
         return confirm(pairs.join(side("a"), "a").join(side("b"), "b").where(near), size, percent)
 
-    tested = saved(members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "tested")
-    links = saved(checked(tested), "links")
-    labels = components(links)
-    with_labels = lambda df: df.join(labels, df["rep"] == labels["node"], "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
-    of = with_labels(members.join(classes.select("rep", "n"), "rep").select("bucket", "rep", "n"))
-    mixed = of.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low <> high")
-    split = saved(of.drop("label").join(mixed.select("bucket", "least"), "bucket"), "split")
+    tested = [saved(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "tested")]
+    links = checked(tested[0])
+    if counted(again, "several"):  # texts of one id are one document
+        at = known.join(small(again).where("low <> high"), "doc_id", "left_semi").join(classes.select("key1", "key2", "node"), ["key1", "key2"]).select("doc_id", "node").distinct()
+        links = links.union(at.join(at.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b"))
+    labels = closure.components(links)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(small(labels), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+    def shingles_of(rows: DataFrame) -> DataFrame:
+        return each_shingle(texts.join(small(nodes_of(rows)), "node", "left_semi"), size)
+
     def able(own: str):
         """Whether a document with so many shingles of its own can be linked with any in its bucket."""
         return (F.col("n") - F.col(own)) * (100 + percent) - F.col("n") * percent >= F.col("least") * percent
 
-    def shingles_of(rows: DataFrame) -> DataFrame:
-        return each_shingle(texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), size)
-
-    # What no other document has bounds a document by itself, so most need no further look.
-    alone = shingles_of(split).groupBy("shingle").agg(F.count("*").alias("docs"), F.min("rep").alias("rep")).where("docs = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    split = saved(split.join(alone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(able("own")).drop("own"), "split")
-    each = shingles_of(split)
-    times = each.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("rep").alias("rep")).where(F.col("docs") <= RARE)
-    times = saved(times, "rare")
-    alone = times.where("docs = 1").groupBy("rep").agg(F.count("*").alias("u"))
-    few = saved(each.join(times.where("docs > 1").select("shingle"), "shingle"), "few")  # shingle, rep
-    rare = few.groupBy("rep").agg(F.count("*").alias("r"))
-    sizes = split.select("rep", "n").distinct().join(alone, "rep", "left").join(rare, "rep", "left")
-    sizes = saved(sizes.select("rep", "n", F.coalesce("u", F.lit(0)).alias("u"), (F.coalesce("u", F.lit(0)) + F.coalesce("r", F.lit(0))).alias("r")), "sizes")
-    active = split.select("bucket", "rep", "least").join(sizes, "rep")
-    active = saved(active.where(able("r")).select("bucket", "rep", "n", "u", "r"), "active")
-
-    def feasible(own: str):
-        most = F.least(F.col("n_a") - F.col(f"{own}_a"), F.col("n_b") - F.col(f"{own}_b"))
-        return (F.col("label_a") != F.col("label_b")) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
-
-    def side(df: DataFrame, key: str, x: str) -> DataFrame:
-        return df.select(key, F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "u", "r", "label")))
-
-    for turn in range(lead_turns + 2):
-        if turn <= lead_turns:
-            now, key, own = saved(with_labels(active), "labelled"), "bucket", "r"
-        else:  # pairs that share a rare shingle, of which there are few for each
-            now, key, own = saved(with_labels(few.join(sizes, "rep")), "labelled"), "shingle", "u"
-        order = F.col("r") / F.col("n") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-        left = now.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("rep", order).alias("lead")).where("low <> high")
-        others = side(now, key, "b").join(left.select(key, F.col("lead").alias("b")), [key, "b"]) if turn < lead_turns else side(now, key, "b").join(left.select(key), key)
-        if turn != lead_turns:
-            met = side(now, key, "a").join(others, key).where(feasible(own) if turn < lead_turns else feasible(own) & (F.col("a") < F.col("b")))
-        else:  # each pair in the first of its common buckets alone
-            mine = active.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))
-            all_of = lambda x: mine.select(F.col("rep").alias(x), F.col("buckets").alias(f"buckets_{x}"))
-            first = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col(key)
-            met = side(now, key, "a").join(all_of("a"), "a").join(others.join(all_of("b"), "b"), key).where(feasible(own) & (F.col("a") < F.col("b")) & first)
-        pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        fresh = saved(pairs.join(tested, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            continue
-        more = saved(checked(fresh), "links")
-        tested = tested.union(fresh)
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
-    found = classes.join(labels, classes["rep"] == labels["node"], "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
+    def feasible(a: Callable[[str], Column], b: Callable[[str], Column], own: str) -> Column:
+        most = F.least(a("n") - a(own), b("n") - b(own))
+        return (a("label") != b("label")) & (most * 100 >= (a("n") + b("n") - most) * percent)
+
+    def linked_more(met: DataFrame) -> DataFrame:
+        """The labels after the pairs (a, b) of met that were not compared before are."""
+        fresh = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        for earlier in tested:
+            fresh = fresh.join(small(earlier), ["a", "b"], "left_anti")
+        tested.append(saved(fresh, "fresh"))
+        return closure.merged(labels, saved(checked(tested[-1]), "links")) if counted(tested[-1]) else labels
+
+    def mixed(rows: DataFrame, *more: Column) -> DataFrame:
+        """The buckets that hold several components."""
+        found = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), *more)
+        return saved(found.where("low <> high").drop("low", "high"), "mixed")
+
+    split = members.join(small(mixed(labelled(members.select("bucket", "node")))).select("bucket"), "bucket", "left_semi")
+    split = saved(split.select("bucket", "node", "n", "least"), "split")
+    if counted(split):
+        # What no other document has bounds a document by itself, so most need no further look.
+        alone = shingles_of(split).groupBy("shingle").agg(F.count("*").alias("docs"), F.min("node").alias("node")).where("docs = 1").groupBy("node").agg(F.count("*").alias("own"))
+        split = saved(split.join(small(saved(alone, "alone")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(able("own")).drop("own"), "split")
+    if counted(split):
+        each = saved(shingles_of(split), "each")
+        times = saved(each.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("node").alias("node")).where(F.col("docs") <= RARE), "rare")
+        few = saved(each.join(times.where("docs > 1").select("shingle"), "shingle"), "few")  # shingle, node
+        own_of = times.where("docs = 1").select("node", F.lit(1).alias("u")).unionAll(few.select("node", F.lit(0).alias("u")))
+        sizes = split.groupBy("node").agg(F.min("n").alias("n")).join(own_of.groupBy("node").agg(F.sum("u").alias("u"), F.count("*").alias("r")), "node", "left").na.fill(0)
+        sizes = saved(sizes, "sizes")  # u: shingles that no other document has; r: those and the rare ones
+        active = saved(split.select("bucket", "node", "least").join(small(sizes), "node").where(able("r")).select("bucket", "node", "n", "u", "r"), "active")
+
+        part = lambda x: lambda c: F.col(f"{c}_{x}")
+        side = lambda x, *keys: [F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "r", "label")), *keys]
+        for turn in range(lead_turns if counted(active) else 0):
+            now = saved(labelled(active), "labelled")
+            order = F.col("r") / F.col("n") if turn == 0 else F.xxhash64("node", F.lit(turn))
+            lead = mixed(now, F.min_by(F.struct(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("n", "r", "label"))), order).alias("lead"))
+            labels = linked_more(now.select("bucket", *side("a")).join(small(lead).select("bucket", "lead.*"), "bucket").where(feasible(part("a"), part("b"), "r")))
+        if counted(active):  # all others, in blocks of a bucket, each pair in the first of its common buckets
+            now = saved(labelled(active), "labelled")
+            left = now.join(small(mixed(now)).withColumn("blocks", F.ceil(F.col("members") / BLOCK)).drop("members"), "bucket")
+            left = left.join(now.groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "node")
+            a = left.select("bucket", *side("a", F.col("buckets").alias("buckets_a")), F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+            b = left.select("bucket", *side("b", F.col("buckets").alias("buckets_b")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+            once = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket")
+            labels = linked_more(a.join(b, ["bucket", "block"]).where((F.col("a") < F.col("b")) & feasible(part("a"), part("b"), "r") & once))
+        # Pairs that share a rare shingle, of which a few documents have each.
+        of = F.collect_list(F.struct("node", "n", "u", "label"))
+        meet = labelled(few.join(small(sizes), "node")).groupBy("shingle").agg(of.alias("of"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        pairs = F.flatten(F.transform("of", lambda x: F.transform(F.filter("of", lambda y: (x["node"] < y["node"]) & feasible(lambda c: x[c], lambda c: y[c], "u")), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+        labels = linked_more(meet.select(F.explode(pairs).alias("pair")).select("pair.*"))
+
+    least = labels.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = small(saved(labels.join(least, "component").select("node", "least"), "least"))
+    found = classes.select("node", "key1", "key2", "doc_id").join(least, "node", "left").select("key1", "key2", F.coalesce("least", "doc_id").alias("least"))
     out = sketches.join(found, ["key1", "key2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
+    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

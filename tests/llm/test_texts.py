@@ -275,3 +275,27 @@ def test_sample_tables_of_other_files():
     assert len(track.keyframes()) == 3
     for broken in (b"", b"\0\0", data[:60], data[:-20], b"\0\0\0\x01mdat", bytes(100)):
         assert isinstance(media.probe(broken), list)
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    rng = random.Random(11)
+    one, two = words(rng, 120), words(rng, 120)
+    near = lambda t: t + " more"
+    rows = [(7, one), (7, two), (2, near(one)), (3, near(two)), (9, words(rng, 50)), (7, one)]
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(7, 2), (2, 2), (3, 2), (9, 9)}
+
+
+def test_many_borderline_copies_of_a_template(spark):
+    rng = random.Random(12)
+    base = words(rng, 100).split(" ")
+    rows = []
+    for i in range(150):  # each shares the template, some pairs reach the bound and some do not
+        w = list(base)
+        at = rng.randrange(100)
+        for k in range(rng.choice((2, 6, 9, 12))):
+            w[(at + 3 * k) % 100] = f"own{i % 40}x{k}"
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows, 5, 80)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {d: c for d, (_, c) in want.items()}
