@@ -62,6 +62,9 @@ class ByteBpe(Memo):
         super().__init__(entries)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        pre = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
+            raise ValueError(f"{path}: normalizer, pre_tokenizer or added tokens are not those of a plain byte-level BPE")
         vocab: dict[str, int] = spec["model"]["vocab"]
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         of_byte = BYTE_ALPHABET

@@ -1,23 +1,24 @@
-"""What the operators of this subpackage share: Arrow mapping, folders, tokenizer memos."""
+"""What the operators of this subpackage share: Arrow mapping, tokenizer memos."""
 
 from __future__ import annotations
 
+import json
 import re
-import uuid
 from array import array
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to a Python worker. Texts may be long, so batches are short.
 BATCH_ROWS = 64
+#: Bytes of texts that are looked at together where that saves time, and characters of a text encoded at once.
+WINDOW_BYTES, PIECE = 8 << 20, 4 << 20
 #: Entries of each of the two generations of a memo of encoded chunks. It changes speed alone.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES, WORD_ENTRIES = 500_000, 700_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -25,52 +26,21 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def windows(batches: Iterator[pa.RecordBatch], column: int, limit: int = WINDOW_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, joined up to about so many bytes of the column."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; it is set here only where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-#: The folders of the tables that an operator has saved and that go when it is done.
-_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Within, what saved() writes lasts until the end of the block, unless it is told to keep it, and no
-    join broadcasts a side: the size of a written table says little about its size in memory."""
-    paths: list[str] = []
-    mark, name = _scratch.set(paths), "spark.sql.autoBroadcastJoinThreshold"
-    limit = spark.conf.get(name)
-    spark.conf.set(name, "-1")
-    try:
-        yield
-    finally:
-        _scratch.reset(mark)
-        spark.conf.set(name, limit)
-        for path in paths:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df under the shared folder and read it back: lineage ends there, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kgspark-{name}-{uuid.uuid4().hex}"
-    paths = _scratch.get()
-    if paths is not None and not keep:
-        paths.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def map_rows(
@@ -143,6 +113,13 @@ class Memo(dict):
         return out
 
 
+#: Of each byte of lower-cased UTF-8: 0 blank, 1 of a letter (a-z, and those from U+00C0 to U+00FF), 2 sign, 3 any other.
+BYTE_KIND = np.array([0 if b == 0x20 else 1 if 0x61 <= b <= 0x7A or b == 0xC3 or 0x80 <= b <= 0xBF and b not in (0x97, 0xB7) else 2 if chr(b) in SIGNS else 3 for b in range(256)], np.uint8)
+#: How the word-level tokenizer must treat a text before its merges, fixed values of its file.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class WordMemo(Memo):
     """A word-level BPE, giving little-endian unsigned 32-bit ids.
 
@@ -150,16 +127,22 @@ class WordMemo(Memo):
     a line break, so the ids of a text are those of its chunks in order. Letters with signs behind them
     are two pre-tokens, whose ids are looked up one by one. A word of letters below U+0180 is in normal
     form already: its lower-cased bytes go to the tokenizer's merges directly, all else through the whole tokenizer.
+    A file that treats texts in another way is used through the whole tokenizer alone.
     """
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES) -> None:
+    def __init__(self, path: str, entries: int = WORD_ENTRIES) -> None:
         from tokenizers import Tokenizer
 
         super().__init__(entries)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.known = spec["normalizer"] == WORD_NORMALIZER and split.get("pattern") == {"Regex": WORD_SPLIT} and all(t["content"].startswith("<|") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in spec["added_tokens"])
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.merges = self.tok.model.tokenize
+        self.largest = max(self.tok.get_vocab().values())
 
     def encoded(self, chunk: str) -> bytes:
         if not chunk.isalpha():
@@ -175,17 +158,91 @@ class WordMemo(Memo):
                 return array("I", [t.id for t in self.merges(shown)]).tobytes()
         return array("I", self.tok.encode(chunk, add_special_tokens=False).ids).tobytes()
 
+    def whole(self, text: str) -> bool:
+        """Whether a text must go through the tokenizer in one piece: "<|" may begin a special token, told by case."""
+        return not self.known or "<|" in text
+
+    def chunks(self, text: str) -> str:
+        """The text with one blank between its chunks, lower-cased where the tokenizer does that by character, so chunks that differ in case alone are one."""
+        try:
+            if not text.isascii():
+                text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return text.replace("\n", " ")
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|" not in text:  # which may begin a special token, and those are told by case
-            try:
-                if not text.isascii():
-                    text.encode("latin-1")
-                text = text.lower()  # as the tokenizer lower-cases these characters, so chunks that differ in case alone are one
-            except UnicodeEncodeError:
-                pass
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if self.whole(text):
+            if not self.known:
+                return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+            return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.__getitem__, self.chunks(text).split(" ")))
+
+    def many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind another, and how many each has."""
+        out, counts = [], np.zeros(len(texts), np.int64)
+        held: list[str] = []
+        of: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            if held:
+                ids, n = self.block(held)
+                out.append(ids)
+                np.add.at(counts, of, n)
+                held.clear()
+                of.clear()
+                size = 0
+
+        for i, t in enumerate(texts):
+            if t and self.whole(t):
+                flush()
+                out.append(np.frombuffer(self.ids(t), "<u4"))
+                counts[i] = len(out[-1])
+                continue
+            t, at = self.chunks(t or ""), 0
+            while at <= len(t):  # a very long text in pieces that end before a blank
+                end = len(t) if len(t) - at <= PIECE or (end := t.find(" ", at + PIECE)) < 0 else end
+                held.append(t[at:end])
+                of.append(i)
+                size += end - at
+                at = end + 1
+                if size >= PIECE:
+                    flush()
+        flush()
+        return np.concatenate(out) if out else np.zeros(0, "<u4"), counts
+
+    def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As many(), for texts as chunks() gives them. Each distinct chunk is looked up once.
+
+        Signs behind a word of letters are made a chunk of their own, so that the memo holds the word once.
+        """
+        parts = [t.encode() for t in texts]
+        body = np.frombuffer(b" " + b" ".join(parts), np.uint8)
+        starts = np.cumsum([len(p) + 1 for p in parts])
+        kind, at = BYTE_KIND[body], np.flatnonzero(body == 0x20)
+        signs = np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1)) + 1
+        mixed = np.zeros(len(at), bool)
+        mixed[np.searchsorted(at, np.flatnonzero((kind[1:] == 3) | (kind[1:] == 1) & (kind[:-1] == 2)) + 1) - 1] = True
+        signs = signs[~mixed[np.searchsorted(at, signs) - 1]]
+        starts += np.searchsorted(signs, starts)
+        body = np.insert(body, signs, 0x20)
+        at = np.flatnonzero(body == 0x20)
+        cut = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(body)).astype("<i4")), pa.py_buffer(body)]).dictionary_encode()
+        _, offsets, own = cut.dictionary.buffers()
+        own = own[1 : int(np.frombuffer(offsets, "<i4")[len(cut.dictionary)])].to_pybytes().decode()
+        found = [*map(self.__getitem__, own.split(" "))]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        flat, index = np.frombuffer(b"".join(found), "<u4"), cut.indices.to_numpy()
+        counts = lengths[index]
+        ends = np.cumsum(counts)
+        ids = np.repeat((np.cumsum(lengths) - lengths)[index] - (ends - counts), counts)
+        ids += np.arange(len(ids))
+        return flat[ids], np.diff(ends[np.searchsorted(at, starts) - 1], prepend=0)
 
 
 @lru_cache(maxsize=4)

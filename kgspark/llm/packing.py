@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import renamed, tune, word_memo
+from .common import renamed, tune, windows, word_memo
 
 TIERS = (512, 1024, 2048, 4096)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step_group long, ids binary"
@@ -137,11 +137,13 @@ def pack(
             ids.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], names=ARROW.names)
 
-        for batch in batches:
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in windows(batches, 1):
+            every, counts = memo.many(batch.column(1).to_pylist())
+            every, at = every.tobytes(), 0
+            for name, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
                 names.append(name)
-                ids.append(memo.ids(t) + end)
-                held += len(ids[-1]) // 4
+                ids.append(every[at : at + 4 * n] + end)
+                at, held = at + 4 * n, held + n + 1
                 if held >= block_tokens:
                     yield block()
         if ids:

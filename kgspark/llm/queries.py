@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.checkpoints import saved, scratch, scratch_path
+
 from . import bpe, chat, langid, licenses, media, neardup, packing, quality, store, substrings
-from .common import documents, shared_dir
+from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,9 +44,10 @@ def op4_chat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/kgspark-store-{uuid.uuid4().hex}"
-    store.write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return store.read(spark, path)
+    with scratch(spark):  # the store goes when its rows are written
+        path = scratch_path(spark, "store")
+        store.write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+        return saved(store.read(spark, path), "store-rows", keep=True)
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,22 @@
 
 A rolling hash over the ids of a document cuts it into chunks, so equal passages give equal chunks.
 A chunk's address is the SHA-256 of its stored bytes (ids as little-endian unsigned 16-bit numbers, or
-32-bit where an id of its batch needs it); each distinct chunk is stored once. The folder holds three Parquet tables:
+32-bit for a larger vocabulary); each distinct chunk is stored once. The folder holds three Parquet tables:
 
     packed/kind=chunk      address, n (ids), width, body
     packed/kind=recipe     recipes as the tasks made them, unordered
     recipes/kind=recipe    part, position, begin (ids before it in its part), doc_id, n, root, addresses
     recipes/kind=manifest  part, n (ids), root
+    root                   parts (their number), n (ids), root
 
 Recipes are ordered by doc_id over the parts and within each. A recipe's root is the Merkle root of its
-addresses, a manifest's that of its recipes' roots. read() checks every address against the body, every
-recipe against its root and every part against its manifest, and fails on the first difference.
+addresses, a manifest's that of its recipes' roots, and the store's that of its manifests' roots. read()
+checks every address against the body, every recipe against its root, every part against its manifest and
+all manifests against the root of the store, and fails on the first difference. The driver holds a
+manifest for each part, and there are as many parts as the shuffle that orders the documents has partitions.
 
-Null and empty texts are stored as their end id. Rows of one doc_id are stored each, ordered by their
-root; a null doc_id comes first. A table without rows gives a store without rows.
+Null and empty texts are stored as their end id, very long ones as many chunks. Rows of one doc_id are
+stored each, ordered by their root; a null doc_id comes first. A table without rows gives a store without rows.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import renamed, tune, word_memo
+from .common import renamed, tune, windows, word_memo
 
 #: Ids a rolling hash looks at; a cut at one position in MEAN on average; least and most ids of a chunk.
 LOOK, MEAN, LEAST, MOST = 8, 1024, 64, 4096
@@ -102,17 +106,18 @@ def chunked(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Rows of both kinds: each chunk once a task, each document's recipe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = word_memo(tokenizer_path), end_id.to_bytes(4, "little")
+        memo = word_memo(tokenizer_path)
+        width = 2 if max(memo.largest, end_id) < 1 << 16 else 4  # one for the whole store, so equal ids have one address
         task, made, seen = TaskContext.get().partitionId(), 0, set()
-        for batch in batches:
-            rows, texts = [], [memo.ids(t) + end for t in batch.column(1).to_pylist()]
-            every = np.frombuffer(b"".join(texts), "<u4")
-            width = 2 if len(every) and every.max() < 1 << 16 else 4
+        for batch in windows(batches, 1):
+            ids, counts = memo.many(batch.column(1).to_pylist())
+            stops = np.cumsum(counts + 1)
+            every = np.full(stops[-1], end_id, "<u4")
+            every[np.delete(np.arange(len(every)), stops - 1)] = ids
             body, wanted = every.astype(f"<u{width}").tobytes(), marks(every)
-            stops = np.cumsum([len(t) // 4 for t in texts])
-            first = np.searchsorted(wanted, stops - [len(t) // 4 for t in texts] + LOOK).tolist()
+            first = np.searchsorted(wanted, stops - counts - 1 + LOOK).tolist()
             last = np.searchsorted(wanted, stops).tolist()
-            start = 0
+            rows, start = [], 0
             for i, (name, stop) in enumerate(zip(batch.column(0).to_pylist(), stops.tolist(), strict=True)):
                 at, own = start, []
                 for cut in cuts(stop - start, (wanted[first[i] : last[i]] - start).tolist()):
@@ -126,7 +131,8 @@ def chunked(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 rows.append(("recipe", b"%16x%16x" % (task, made), name, stop - start, 32, b"".join(own)))
                 made, start = made + 1, stop
             kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["kind", "address", "doc_id", "n", "width", "body"])
+            for k in range(0, len(rows), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 4096], strict=True), kinds, strict=True)], names=["kind", "address", "doc_id", "n", "width", "body"])
 
     tune(docs.sparkSession)
     return docs.mapInArrow(run, "kind string, address binary, doc_id long, n long, width int, body binary")
@@ -161,6 +167,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, doc_
     recipes = table(spark, path, "packed", "recipe").select("doc_id", "n", F.col("body").alias("addresses")).mapInArrow(rooted, "doc_id long, n long, root binary, addresses binary")
     ordered = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root", "n")
     ordered.mapInArrow(number, "kind string, part int, position long, begin long, doc_id long, n long, root binary, addresses binary").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/recipes")
+    found = sorted(tuple(r) for r in table(spark, path, "recipes", "manifest").select("part", "n", "root").collect())
+    spark.createDataFrame([summary(found)], "parts int, n long, root binary").write.parquet(f"{path}/root")
 
 
 def table(spark: SparkSession, path: str, name: str, kind: str) -> DataFrame:
@@ -183,25 +191,44 @@ def checked_chunks(spark: SparkSession, path: str) -> DataFrame:
     return table(spark, path, "packed", "chunk").select("address", "n", "width", "body").mapInArrow(run, "address binary, n long, crc32 long")
 
 
-def offsets(spark: SparkSession, path: str) -> DataFrame:
-    """part, before: the ids of all earlier parts. There are as many rows as parts."""
-    from pyspark.sql import Window
+def manifests(spark: SparkSession, path: str) -> list[tuple[int, int, bytes]]:
+    """part, n and root of each part in order, held against the root of the store."""
+    found = sorted(tuple(r) for r in table(spark, path, "recipes", "manifest").select("part", "n", "root").collect())
+    if [summary(found)] != [(r["parts"], r["n"], bytes(r["root"])) for r in spark.read.parquet(f"{path}/root").collect()]:
+        raise ValueError("the manifests differ from the root of the store")
+    return found
+
 
-    parts = table(spark, path, "recipes", "manifest").select("part", "n")
-    return parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+def summary(found: list[tuple[int, int, bytes]]) -> tuple[int, int, bytes]:
+    return len(found), sum(n for _, n, _ in found), merkle_root([bytes(root) for _, _, root in found])
 
 
-def checked_parts(spark: SparkSession, path: str) -> DataFrame:
-    """The parts whose recipes give the root of their manifest; another one fails."""
+def check_parts(spark: SparkSession, path: str, found: list[tuple[int, int, bytes]]) -> None:
+    """Fail unless the recipes of every part give the root of its manifest. A task holds one path of the tree."""
+    wanted = {part: bytes(root) for part, _, root in found}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tree = None, Merkle()
 
-    def run(key: tuple[pa.Scalar], rows: pa.Table, manifest: pa.Table) -> pa.Table:
-        roots = [r for _, r in sorted(zip(rows.column("position").to_pylist(), rows.column("root").to_pylist(), strict=True))]
-        if manifest.num_rows != 1 or merkle_root(roots) != manifest.column("root")[0].as_py():
-            raise ValueError(f"part {key[0]} differs from its manifest")
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32())})
+        def done() -> pa.RecordBatch:
+            if wanted.get(part) != tree.root():
+                raise ValueError(f"part {part} differs from its manifest")
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
+
+        for batch in batches:
+            for own, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != part:
+                    if part is not None:
+                        yield done()
+                    part, tree = own, Merkle()
+                tree.add(root)
+        if part is not None:
+            yield done()
 
-    rows = table(spark, path, "recipes", "recipe").select("part", "position", "root").groupBy("part")
-    return rows.cogroup(table(spark, path, "recipes", "manifest").select("part", "root").groupBy("part")).applyInArrow(run, "part int")
+    rows = table(spark, path, "recipes", "recipe").select("part", "position", "root")
+    seen = rows.repartition("part").sortWithinPartitions("part", "position").select("part", "root").mapInArrow(run, "part int").collect()
+    if {r["part"] for r in seen} != set(wanted):
+        raise ValueError(f"no recipes of the parts {sorted(set(wanted) - {r['part'] for r in seen})}")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -240,7 +267,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     uses = recipes.select("part", "position", "root", "addresses").mapInArrow(addresses, "part int, position long, at long, address binary")
     met = uses.join(checked_chunks(spark, path), "address").groupBy("part", "position").agg(F.collect_list(F.struct("at", "n", "crc32")).alias("own"))
     sums = met.select("part", "position", "own").mapInArrow(combined, "part int, position long, ids_crc32 long, n_tokens long")
-    names = recipes.select("part", "position", "begin", "doc_id", "n").join(offsets(spark, path), "part").join(checked_parts(spark, path), "part")
+    found = manifests(spark, path)
+    check_parts(spark, path, found)
+    before = spark.createDataFrame([(part, end - n) for (part, n, _), end in zip(found, accumulate(n for _, n, _ in found), strict=True)], "part int, before long")
+    names = recipes.select("part", "position", "begin", "doc_id", "n").join(F.broadcast(before), "part")
     wrong = F.raise_error(F.lit("a recipe's chunks are missing or too long"))
     n_tokens = F.when(F.col("n") == F.col("n_tokens"), F.col("n_tokens")).otherwise(wrong.cast("long"))
     return names.join(sums, ["part", "position"], "left").select("doc_id", (F.col("before") + F.col("begin")).alias("start"), n_tokens.alias("n_tokens"), "ids_crc32")

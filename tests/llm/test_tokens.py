@@ -165,3 +165,67 @@ def test_cuts_follow_content():
         return {x[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)}
 
     assert len(pieces(ids) & pieces(shifted)) >= len(pieces(ids)) - 2
+
+
+def test_many_texts_at_once_agree_with_the_library(libraries, monkeypatch):
+    from kgspark.llm import common
+
+    rng = random.Random(5)
+    alphabet = "abcXYZéÉßÄñşŞıİŉſΣσς中ª²½÷×_'.,!|<>*-  \n\t\r\x0b\x1c\x85\xa0　́​0123"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30))) for _ in range(2000)]
+    texts += [t for _, t in corpus()] + [None, "", " ", "don't. we're! l'été, straße... 日本. a<|endoftext|>b", "Ab, " * 4000, "x" * 9000]
+    for piece in (common.PIECE, 50):
+        monkeypatch.setattr(common, "PIECE", piece)
+        ids, counts = common.WordMemo(WORD, entries=1000).many(texts)
+        at = 0
+        for t, n in zip(texts, counts.tolist(), strict=True):
+            assert ids[at : at + n].tolist() == libraries[0].encode(t or "", add_special_tokens=False).ids, t
+            at += n
+        assert at == len(ids)
+
+
+def test_a_file_with_other_rules_goes_through_the_whole_tokenizer(tmp_path):
+    import json
+
+    spec = json.load(open(WORD, encoding="utf-8"))
+    spec["normalizer"] = {"type": "NFC"}
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    memo, tok = word_memo(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    text = "The Quick, brown\nFox"
+    assert memo.many([text])[0].tolist() == ids_of(memo.ids(text)) == tok.encode(text, add_special_tokens=False).ids != Tokenizer.from_file(WORD).encode(text).ids
+    spec = json.load(open(BYTE, encoding="utf-8"))
+    spec["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "bytes.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="pre_tokenizer"):
+        bpe.ByteBpe(str(tmp_path / "bytes.json"))
+
+
+def test_a_lost_part_is_noticed(spark, tmp_path):
+    import glob
+    import os
+    import shutil
+
+    rows = [(i, f"text number {i} " * 9) for i in range(60)]
+    whole = f"{tmp_path}/whole"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write(frame(spark, rows), f"file://{whole}", WORD)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert store.read(spark, f"file://{whole}").count() == 60
+    for kinds in (("recipe", "manifest"), ("recipe",), ("manifest",)):
+        cut = f"{tmp_path}/cut-{len(kinds)}-{kinds[0]}"
+        shutil.copytree(whole, cut)
+        lost = sorted(f for k in kinds for f in glob.glob(f"{cut}/recipes/kind={k}/part-00001-*.parquet"))
+        assert lost, "the store has several parts"
+        for f in lost:
+            os.remove(f)
+        with pytest.raises(Exception, match="root of the store|no recipes|missing"):
+            store.read(spark, f"file://{cut}").collect()
+
+
+def test_equal_ids_have_one_address(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store.write(frame(spark, [(i, "the same words " * 30 + ("\U0001f600 " * (i % 2))) for i in range(0, 200, 2)] + [(500, "the same words " * 30)]), path, WORD)
+    assert store.table(spark, path, "packed", "chunk").select("width").distinct().count() == 1
+    assert store.table(spark, path, "packed", "chunk").count() == 1
