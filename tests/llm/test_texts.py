@@ -299,3 +299,29 @@ def test_many_borderline_copies_of_a_template(spark):
     want = brute_components(rows, 5, 80)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
     assert got == {d: c for d, (_, c) in want.items()}
+
+
+def test_messages_follow_the_windows(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = [words(rng, 200, 10_000) + " " + "shared " * (i % 3) for i in range(120)]
+
+    def sent(n, ranges, groups):
+        df = spark.createDataFrame([(i, texts[i], i % groups) for i in range(n)], "_id long, _text string, _group long")
+        own = substrings.first_messages(df, ranges, 13).selectExpr("count(*) as rows", "sum(octet_length(hashes) + 24) as bytes").first()
+        return own["rows"], own["bytes"]
+
+    one, two = sent(60, 8, 4), sent(120, 16, 8)  # twice the groups and twice the ranges
+    assert two[0] <= 4 * one[0] and two[1] <= 2.3 * one[1]
+    windows = sum(max(0, len(t.split()) - 12) for t in texts)
+    many = sent(120, 1 << 20, 8)  # so many ranges that each message is one window
+    assert many[0] <= windows and many[1] <= 70 * windows
+
+
+def test_substrings_of_repeated_ids_nulls_and_a_megabyte(spark):
+    rng = random.Random(22)
+    long = words(rng, 150_000, 10_000)
+    passage = long[300_000:301_000]
+    rows = [(9, long), (9, passage + " end"), (None, passage), (12, "start " + passage), (12, passage), (15, long)]
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substrings.substring_dedup(frame(spark, rows)).collect()))
+    want = sorted(((max(d, 0), n, k) for d, n, k, _ in brute_substrings(rows, 13)))
+    assert got == want
