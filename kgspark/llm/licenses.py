@@ -4,12 +4,15 @@ parser reads the expressions behind the tags and evaluates and/or/with.
 Texts are lower-cased (A-Z alone); words are runs of digits, a-z and characters above U+007F. A phrase
 is found where its words stand consecutively, so places may overlap. Null text is empty text: no words,
 no places, empty labels, score 0. Repeated rows give equal values, a table without rows gives none, and
-other columns are ignored. An expression that cannot be read gives the label `spdx-invalid`.
+other columns are ignored. A very long text is scanned in one go, in time that follows its length. A tag is
+found by its words and followed by : or = and an expression on the same line, of which the longest part that
+can be read counts; one that cannot be read at all gives the label `spdx-invalid`.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,48 +50,62 @@ FREEDOM = {
 EXCEPTION = 0.3
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 SEPARATORS = bytes.maketrans(bytes(range(256)), bytes(0x20 if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)))
-TOKEN = re.compile(r"\s*(\(|\)|[a-z0-9][a-z0-9.\-]*\+?)", re.I)
-TAG = re.compile(r"(?:spdx[\W_]+license[\W_]+identifier|license[\W_]+expression)[ \t]*[:=][ \t]*([^\r\n]*)", re.I | re.A)
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+TOKEN = re.compile(rb"[ \t\x0b\x0c]*(\(|\)|[a-z0-9][a-z0-9.\-]*\+?)", re.I)
+#: What stands between a tag and its expression.
+ASSIGNED = re.compile(rb"[ \t]*[:=]")
 
 
 class ExpressionError(ValueError):
     pass
 
 
-def to_postfix(tokens: list[str]) -> list[str]:
-    """Shunting yard: operands go out at once, operators wait on a stack by precedence."""
+def longest(tokens: Iterable[str]) -> tuple[list[str], bool]:
+    """Postfix form of the longest expression that the tokens begin with, and whether it is all of them.
+
+    Shunting yard: operands go out at once, operators wait on a stack by precedence. Where no bracket
+    is open the stack holds one operator of each precedence at most, so the last complete state is kept.
+    """
     out: list[str] = []
     stack: list[str] = []
-    operand = False
+    depth, operand, plain, kept, whole = 0, False, False, (0, []), False
     for t in tokens:
-        low = t.lower()
+        low, whole = t.lower(), False
         if t == "(":
-            if operand:
-                raise ExpressionError("operator wanted")
+            if operand or stack[-1:] == ["with"]:
+                break
             stack.append(t)
+            depth += 1
         elif t == ")":
-            if not operand:
-                raise ExpressionError("operand wanted")
-            while stack and stack[-1] != "(":
+            if not operand or not depth:
+                break
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                raise ExpressionError("no opening bracket")
             stack.pop()
+            depth, plain = depth - 1, False
         elif low in PRECEDENCE:
-            if not operand:
-                raise ExpressionError("operand wanted")
+            if not operand or low == "with" and not plain:
+                break
             while stack and stack[-1] != "(" and PRECEDENCE[stack[-1]] >= PRECEDENCE[low]:
                 out.append(stack.pop())
             stack.append(low)
             operand = False
         else:
             if operand:
-                raise ExpressionError("operator wanted")
+                break
             out.append(low)
-            operand = True
-    if not operand or "(" in stack:
-        raise ExpressionError("not ended")
-    return out + stack[::-1]
+            operand, plain = True, stack[-1:] != ["with"]
+        if operand and not depth:
+            kept, whole = (len(out), stack[::-1]), True
+    return out[: kept[0]] + kept[1], whole
+
+
+def to_postfix(tokens: list[str]) -> list[str]:
+    """Postfix form of an expression; fails unless the tokens are one."""
+    out, whole = longest(tokens)
+    if not whole:
+        raise ExpressionError("no expression")
+    return out
 
 
 def freedom(identifier: str) -> float:
@@ -98,34 +115,32 @@ def freedom(identifier: str) -> float:
 
 def evaluate(postfix: list[str]) -> tuple[float, list[str]]:
     """Freedom of an expression and its licences: or gives the choice, and binds to both, with eases."""
-    stack: list[tuple[float, list[str], bool]] = []
-    for t in postfix:
+    stack: list[tuple[float, int]] = []  # value, place of the operand if it is one
+    licences: dict[int, str] = {}
+    for i, t in enumerate(postfix):
         if t not in PRECEDENCE:
-            stack.append((freedom(t.rstrip("+")), [t], True))
+            licences[i] = t
+            stack.append((freedom(t.rstrip("+")), i))
             continue
-        (b, right, plain), (a, left, alone) = stack.pop(), stack.pop()
+        (b, exception), (a, licence) = stack.pop(), stack.pop()
         if t == "with":
-            if not (plain and alone):
+            if exception < 0 or licence < 0:
                 raise ExpressionError("with stands between a licence and an exception")
-            stack.append((min(1.0, a + EXCEPTION), left, False))
-        else:
-            stack.append((max(a, b) if t == "or" else min(a, b), left + right, False))
-    return stack[0][0], list(dict.fromkeys(stack[0][1]))
+            del licences[exception]
+        stack.append((min(1.0, a + EXCEPTION) if t == "with" else max(a, b) if t == "or" else min(a, b), -1))
+    return stack[0][0], list(dict.fromkeys(licences.values()))
 
 
-def read_expression(line: str) -> tuple[float, list[str], str] | None:
-    """Freedom, licences and postfix form of the longest expression at the start of the line, or None."""
-    tokens, at = [], 0
-    while m := TOKEN.match(line, at):
-        tokens.append(m[1].rstrip(".") if m[1] not in "()" else m[1])
+def tokens_at(text: bytes, at: int) -> Iterator[str]:
+    while m := TOKEN.match(text, at):
+        yield m[1].decode("ascii") if m[1] in b"()" else m[1].decode("ascii").rstrip(".")
         at = m.end()
-    while tokens:
-        try:
-            postfix = to_postfix(tokens)
-            return *evaluate(postfix), " ".join(postfix)
-        except ExpressionError:
-            tokens.pop()
-    return None
+
+
+def read_expression(text: bytes, at: int = 0) -> tuple[float, list[str], str] | None:
+    """Freedom, licences and postfix form of the longest expression that begins at a place of its line, or None."""
+    postfix, _ = longest(tokens_at(text, at))
+    return (*evaluate(postfix), " ".join(postfix)) if postfix else None
 
 
 class Scanner:
@@ -143,27 +158,38 @@ class Scanner:
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float, float | None, str]:
         """n_words, n_base, first_word, last_word, base_labels, labels, score, freedom of the expressions, their postfix forms."""
-        words = (text or "").encode().translate(SEPARATORS).split()
+        raw = (text or "").encode()
+        words = raw.translate(SEPARATORS).split()
         line = f" {b' '.join(words).decode('latin-1')} "  # a character a byte: what counts is the blanks
-        places, base, labels, weight, tagged = [], set(), set(), 1.0, False
+        places, tags, base, labels, weight = [], [], set(), set(), 1.0
+        counted, blanks = 0, 0  # places come by their ends, so blanks are counted once
         for end, (length, what) in self.found.iter(line):
             for kind, label in what:
+                if kind == "notice":
+                    labels.add(label)
+                    continue
+                blanks, counted = blanks + line.count(" ", counted, end), end
                 if kind == "base":
-                    places.append(line.count(" ", 0, end) - length)
+                    places.append(blanks - length)
                     base.add(label)
-                elif kind == "notice":
-                    labels.add(label)
                 else:
-                    tagged = True
+                    tags.append(blanks - 1)  # the last word of the tag
         free, forms = None, []
-        if tagged:
-            for m in TAG.finditer(text):
-                if read := read_expression(m[1]):
-                    free = read[0] if free is None else min(free, read[0])
-                    labels |= {f"spdx-{x}" for x in read[1]}
-                    forms.append(read[2])
-                else:
-                    labels.add("spdx-invalid")
+        if tags:
+            wanted = iter(sorted(set(tags)))
+            tag = next(wanted)
+            for i, m in enumerate(WORD.finditer(raw)):
+                if i < tag:
+                    continue
+                if given := ASSIGNED.match(raw, m.end()):
+                    if read := read_expression(raw, given.end()):
+                        free = read[0] if free is None else min(free, read[0])
+                        labels |= {f"spdx-{x}" for x in read[1]}
+                        forms.append(read[2])
+                    else:
+                        labels.add("spdx-invalid")
+                if (tag := next(wanted, -1)) < 0:
+                    break
         for label in base | labels:
             weight *= 0.05 if label.startswith("spdx-") and label != "spdx-invalid" else 0.9 if label in ("notice-reserved", "spdx-invalid") else 0.4
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 - weight, free, ",".join(forms)

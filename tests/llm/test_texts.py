@@ -325,3 +325,47 @@ def test_substrings_of_repeated_ids_nulls_and_a_megabyte(spark):
     got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substrings.substring_dedup(frame(spark, rows)).collect()))
     want = sorted(((max(d, 0), n, k) for d, n, k, _ in brute_substrings(rows, 13)))
     assert got == want
+
+
+def brute_licences(text):
+    """Base columns and notice labels by trying each phrase at each word."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    at = lambda p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    places = [i for p in licenses.BASE for i in at(p)]
+    base = sorted({label for p, label in licenses.BASE.items() if at(p)})
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(base), sorted({label for p, label in licenses.NOTICES.items() if at(p)})
+
+
+def test_licence_places_match_brute_force(spark):
+    rng = random.Random(31)
+    parts = [*licenses.BASE, *licenses.NOTICES, "the", "mit", "License", "cc by", "é", "x9", "under THE", "apache license version", "公", "İ"]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice([" ", "-", ", ", "\n", "_", "\x00", "é"]) for _ in range(rng.randrange(25)))) for i in range(400)]
+    rows += corpus()
+    got = licenses.scan(frame(spark, rows)).collect()
+    shown = lambda d, n, k, a, b, base, labels: (d or -1, n, k, -1 if a is None else a, -1 if b is None else b, base, labels)
+    notices = lambda labels: sorted(x for x in labels.split(",") if x.startswith("notice-"))
+    assert sorted(shown(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], notices(r["labels"])) for r in got) == sorted(shown(d, *brute_licences(t)) for d, t in rows)
+
+
+def test_licence_scan_takes_time_in_proportion():
+    import time
+
+    scanner = licenses.Scanner()
+    start = time.perf_counter()
+    assert scanner.scan("cc by nc " * 300_000)[1:4] == (300_000, 0, 899_997)
+    assert scanner.scan("SPDX-License-Identifier: " + "(" * 200_000 + "MIT")[5] == "spdx-invalid"
+    many = scanner.scan("SPDX-License-Identifier: MIT OR ISC " * 30_000)
+    assert many[5] == "spdx-isc,spdx-mit" and many[8].count(",") == 29_999
+    long = scanner.scan("SPDX-License-Identifier: " + " AND ".join(f"x{i}" for i in range(50_000)))
+    assert long[7] == 0.0 and long[5].count(",") == 49_999
+    assert time.perf_counter() - start < 20
+
+
+def test_the_longest_readable_part_of_an_expression_counts():
+    for line, form in {"MIT OR": "mit", "MIT AND ISC foo bar": "mit isc and", "(MIT OR ISC) AND (Zlib": "mit isc or", "GPL-2.0 WITH x WITH y": "gpl-2.0 x with", "(MIT) WITH x": "mit", "MIT WITH (x)": "mit", "GPL-2.0+, MIT": "gpl-2.0+"}.items():
+        assert licenses.read_expression(line.encode())[2] == form, line
+    assert licenses.read_expression(b"AND") is None and licenses.read_expression(b"") is None
+    scan = licenses.Scanner().scan
+    assert scan("xspdx-license-identifier: MIT")[5] == "" and scan("license_expression = ISC")[5] == "spdx-isc"
+    assert scan("SPDX-License-Identifier\n: MIT")[5] == "" and scan("é SPDX License Identifier:\tMIT\nOR ISC")[8] == "mit"
