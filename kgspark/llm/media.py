@@ -1,12 +1,15 @@
 """Media columns: ISO base media files, walked box by box.
 
 write() stores a payload losslessly as 8-bit PCM samples in a small file; probe() reads any such file:
-it walks the nested boxes, decodes the sample tables and gives codec, duration and keyframe byte
-ranges without decoding a payload; samples() reads sample bytes by the tables alone.
-
-Null text is empty text. An empty text gives a payload of 64 zero bytes. Repeated rows give equal
-values. A table without rows gives no rows. Other columns are ignored. A damaged or foreign file gives
-a null codec, no tracks and no ranges, and no error.
+it walks the nested boxes, decodes the sample tables (also those of movie fragments) and gives codec,
+duration and keyframe byte ranges without decoding a payload; samples() reads sample bytes by the tables
+alone. Edit lists, which change what is played and not what is stored, are passed over.
+
+Null text is empty text. An empty text gives a payload of 64 zero bytes, a very long one a file with 64-bit
+offsets. Repeated rows give equal values. A table without rows gives no rows. Other columns are ignored. A
+damaged or foreign file gives what can be read, down to no tracks, and no error: counts are held against
+the bytes of their box or of the file, and boxes are walked with a stack, so neither takes memory beyond
+the file's own. A sample table without places of chunks has no ranges.
 """
 
 from __future__ import annotations
@@ -70,82 +73,180 @@ def write(payload: bytes) -> bytes:
 
 @dataclass
 class Track:
+    number: int = 0
     kind: str | None = None
     codec: str | None = None
     timescale: int = 0
     duration: int = 0
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     starts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    deltas: list[tuple[int, int]] = field(default_factory=list)
+    deltas: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
     sync: np.ndarray | None = None
 
     def keyframes(self) -> list[tuple[int, int]]:
         """Byte ranges (first, behind the last) of the sync samples; without a table every sample is one."""
-        at = np.arange(len(self.sizes)) if self.sync is None else self.sync[(self.sync >= 1) & (self.sync <= len(self.sizes))] - 1
+        n = len(self.starts)
+        at = np.arange(n) if self.sync is None else self.sync[(self.sync >= 1) & (self.sync <= n)] - 1
         return [*zip(self.starts[at].tolist(), (self.starts[at] + self.sizes[at]).tolist(), strict=True)]
 
+    def seconds(self) -> float | None:
+        """By the header, or where that has none by the time table."""
+        length = self.duration or int((self.deltas[:, 0] * self.deltas[:, 1]).sum())
+        return length / self.timescale if self.timescale else None
+
 
-def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
-    """(path, first byte, byte behind the last) of the body of every box, parents first."""
-    end = len(data) if end is None else end
-    while at + 8 <= end:
+def walk(data: bytes):
+    """(path, first byte, byte behind the last) of the body of every box, parents first. Of a path the last 8 kinds are kept."""
+    todo: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while todo:
+        at, end, path = todo.pop()
+        if at + 8 > end:
+            continue
         size, kind, lead = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8], 8
         if size == 1 and at + 16 <= end:
             size, lead = int.from_bytes(data[at + 8 : at + 16], "big"), 16
         elif size == 0:
             size = end - at
         if size < lead or at + size > end:
-            return
-        yield (*path, kind), at + lead, at + size
+            continue
+        own = (*path[-7:], kind)
+        yield own, at + lead, at + size
+        todo.append((at + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, at + lead, at + size, (*path, kind))
-        at += size
+            todo.append((at + lead, at + size, own))
+
+
+def numbers(body: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    """n numbers of a table, or as many as its box holds."""
+    wide = np.dtype(kind).itemsize
+    return np.frombuffer(body, kind, max(0, min(n, (len(body) - at) // wide)), at).astype(np.int64)
+
+
+def sample_sizes(kind: bytes, body: bytes, most: int) -> np.ndarray:
+    """Sizes of the samples by stsz or stz2; equal ones are as many as fit into a file of so many bytes."""
+    first, n = struct.unpack_from(">II", body, 4)
+    if kind == b"stsz":
+        return np.full(min(n, most // first), first, np.int64) if first else numbers(body, ">u4", n, 12)
+    if first & 0xFF == 4:
+        both = np.frombuffer(body, np.uint8, max(0, min(-(-n // 2), len(body) - 12)), 12)
+        return np.stack([both >> 4, both & 15], 1).ravel()[:n].astype(np.int64)
+    return numbers(body, ">u1" if first & 0xFF == 8 else ">u2", n, 12)
+
+
+def placed(track: Track, runs: np.ndarray, chunks: np.ndarray, most: int) -> None:
+    """Where the samples of a track lie, by its runs of chunks (first chunk, samples in each, description) and their places."""
+    runs, n = runs[: len(runs) // 3 * 3].reshape(-1, 3), len(track.sizes)
+    if not (len(runs) and len(chunks) and n):
+        track.sizes = track.sizes[:0]
+        return
+    per = np.repeat(np.minimum(runs[:, 1], n), np.diff(np.append(runs[:, 0].clip(1, len(chunks) + 1), len(chunks) + 1)).clip(0))[: len(chunks)]
+    used = int(np.searchsorted(np.cumsum(per), n)) + 1
+    per = per[:used]
+    of = np.repeat(np.arange(len(per)), per)[:n]
+    sizes = track.sizes[: len(of)]
+    before = np.cumsum(sizes) - sizes
+    first = np.append(0, np.cumsum(per))[:-1]
+    track.sizes = sizes
+    track.starts = chunks[of].clip(0, most) + before - before[first[of].clip(0, max(len(sizes) - 1, 0))] if len(of) else np.zeros(0, np.int64)
+
+
+def fragment_run(body: bytes, base: int, size: int, flags: int, most: int) -> tuple[int, np.ndarray, np.ndarray, int]:
+    """First byte, sizes, whether each is a sync sample, and the duration of a run of samples, given the defaults of its fragment."""
+    given, n = struct.unpack_from(">II", body, 0)
+    at, start, first_flags = 8, base, None
+    if given & 0x1:
+        start, at = base + struct.unpack_from(">i", body, at)[0], at + 4
+    if given & 0x4:
+        first_flags, at = struct.unpack_from(">I", body, at)[0], at + 4
+    fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if given & bit]
+    if not fields:
+        n = min(n, most // size) if size else 0
+    else:
+        n = min(n, (len(body) - at) // (4 * len(fields)))
+    table = numbers(body, ">u4", n * len(fields), at).reshape(n, len(fields))
+    column = lambda bit, default: table[:, fields.index(bit)] if bit in fields else np.full(n, default, np.int64)
+    marks = column(0x400, flags)
+    if first_flags is not None and n:
+        marks = marks.copy()
+        marks[0] = first_flags
+    return start, column(0x200, size), marks & 0x10000 == 0, int(column(0x100, 0).sum())
 
 
 def probe(data: bytes) -> list[Track]:
     tracks: list[Track] = []
     tables: dict[bytes, np.ndarray] = {}
+    defaults: dict[int, tuple[int, int]] = {}  # of fragments, by track: size and flags
+    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]] = {}
+    moof = base = after = 0
+    now: tuple[int, int, int] | None = None  # track, size and flags of the fragment
 
     def close() -> None:
-        if tracks and (runs := tables.get(b"stsc")) is not None and (chunks := tables.get(b"chunks")) is not None:
-            t, runs = tracks[-1], runs.reshape(-1, 3)
-            if len(runs) and len(chunks) and len(t.sizes):
-                per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)).clip(0))[: len(chunks)]
-                of = np.repeat(np.arange(len(per)), per)[: len(t.sizes)]
-                sizes = t.sizes[: len(of)]
-                before = np.cumsum(sizes) - sizes
-                first = np.append(0, np.cumsum(per))[:-1]
-                t.sizes, t.starts = sizes, chunks[of] + before - before[first[of].clip(0, len(sizes) - 1)]
+        if tracks:
+            placed(tracks[-1], tables.get(b"stsc", np.zeros(0, np.int64)), tables.get(b"chunks", np.zeros(0, np.int64)), len(data))
         tables.clear()
 
+    inside = 0  # where the track ends whose boxes are walked
     for path, a, b in walk(data):
         kind, body = path[-1], data[a:b] if path[-1] not in CONTAINERS | {b"mdat"} else b""
         try:
             if kind == b"trak":
                 close()
                 tracks.append(Track())
-            elif not tracks or b"trak" not in path:
+                inside = b
+            elif kind == b"trex":
+                number, _, _, size, flags = struct.unpack_from(">5I", body, 4)
+                defaults[number] = size, flags
+            elif kind == b"moof":
+                moof = after = a - 8
+            elif kind == b"tfhd":
+                given, number = struct.unpack_from(">II", body, 0)
+                size, flags = defaults.get(number, (0, 0))
+                base, at = (moof if given & 0x20000 else after), 8
+                if given & 0x1:
+                    base, at = struct.unpack_from(">Q", body, at)[0], at + 8
+                at += 4 * bool(given & 0x2) + 4 * bool(given & 0x8)
+                if given & 0x10:
+                    size, at = struct.unpack_from(">I", body, at)[0], at + 4
+                if given & 0x20:
+                    flags = struct.unpack_from(">I", body, at)[0]
+                now, after = (number, size, flags), base
+            elif kind == b"trun" and now:
+                start, sizes, sync, length = fragment_run(body, base if struct.unpack_from(">I", body)[0] & 0x1 else after, now[1], now[2], len(data))
+                start = min(max(start, 0), len(data))
+                found.setdefault(now[0], []).append((start + np.cumsum(sizes) - sizes, sizes, sync, length))
+                after = start + int(sizes.sum())
+            elif not tracks or a >= inside:
                 continue
+            elif kind == b"tkhd":
+                tracks[-1].number = struct.unpack_from(">I", body, 20 if body[0] else 12)[0]
             elif kind == b"mdhd":
                 tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ", body, 20) if body[0] else struct.unpack_from(">II", body, 12)
             elif kind == b"hdlr":
                 tracks[-1].kind = body[8:12].decode("latin-1")
             elif kind == b"stsd":
-                tracks[-1].codec = body[12:16].decode("latin-1").strip()
+                tracks[-1].codec = body[12:16].decode("latin-1").strip() or None
             elif kind == b"stts":
-                tracks[-1].deltas = [*struct.iter_unpack(">II", body[8 : 8 + 8 * int.from_bytes(body[4:8], "big")])]
-            elif kind == b"stsz":
-                size, n = struct.unpack_from(">II", body, 4)
-                tracks[-1].sizes = np.full(n, size, np.int64) if size else np.frombuffer(body, ">u4", n, 12).astype(np.int64)
-            elif kind in (b"stco", b"co64"):
-                tables[b"chunks"] = np.frombuffer(body, ">u4" if kind == b"stco" else ">u8", int.from_bytes(body[4:8], "big"), 8).astype(np.int64)
+                tracks[-1].deltas = (x := numbers(body, ">u4", 2 * int.from_bytes(body[4:8], "big"), 8))[: len(x) // 2 * 2].reshape(-1, 2)
+            elif kind in (b"stsz", b"stz2"):
+                tracks[-1].sizes = sample_sizes(kind, body, len(data))
+            elif kind == b"stco":
+                tables[b"chunks"] = numbers(body, ">u4", int.from_bytes(body[4:8], "big"), 8)
+            elif kind == b"co64":
+                tables[b"chunks"] = numbers(body, ">i8", int.from_bytes(body[4:8], "big"), 8)
             elif kind == b"stsc":
-                tables[kind] = np.frombuffer(body, ">u4", 3 * int.from_bytes(body[4:8], "big"), 8).astype(np.int64)
+                tables[kind] = numbers(body, ">u4", 3 * int.from_bytes(body[4:8], "big"), 8)
             elif kind == b"stss":
-                tracks[-1].sync = np.frombuffer(body, ">u4", int.from_bytes(body[4:8], "big"), 8).astype(np.int64)
+                tracks[-1].sync = numbers(body, ">u4", int.from_bytes(body[4:8], "big"), 8)
         except (struct.error, ValueError, IndexError):
             continue
     close()
+    for t in tracks:
+        for starts, sizes, sync, length in found.get(t.number, ()):
+            own = len(t.starts)
+            if t.sync is None:
+                t.sync = np.arange(1, own + 1)
+            t.starts, t.sizes, t.duration = np.append(t.starts, starts), np.append(t.sizes, sizes), t.duration + length
+            t.sync = np.append(t.sync, np.flatnonzero(sync) + own + 1)
     return tracks
 
 
@@ -159,13 +260,19 @@ def samples(data: bytes, track: Track) -> bytes:
 
 
 def feature(tracks: list[Track]) -> str:
-    """codec;seconds;samples;keyframes;first, second and last keyframe byte ranges of the first track."""
+    """codec;seconds;samples;keyframes;CRC-32 of all keyframe byte ranges of the first track, written first-behind and joined by commas."""
     if not tracks or tracks[0].codec is None:
         return ""
     t = tracks[0]
     keys = t.keyframes()
-    shown = dict.fromkeys([*keys[:2], *keys[-1:]])
-    return f"{t.codec};{t.duration / max(t.timescale, 1):.6f};{len(t.sizes)};{len(keys)};" + " ".join(f"{a}-{b}" for a, b in shown)
+    return f"{t.codec};{t.seconds() or 0:.6f};{len(t.starts)};{len(keys)};{zlib.crc32(','.join(f'{a}-{b}' for a, b in keys).encode()):08x}"
+
+
+def spans(ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"first": a, "behind": b} for a, b in ranges]
+
+
+SPANS, SPANS_DDL = pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())])), "array<struct<first:long,behind:long>>"
 
 
 def probe_media(files: DataFrame, key: str = "media_id", data: str = "data") -> DataFrame:
@@ -173,14 +280,13 @@ def probe_media(files: DataFrame, key: str = "media_id", data: str = "data") ->
 
     def make():
         def row(k, d):
-            return [(k, i, t.kind, t.codec, t.duration / t.timescale if t.timescale else None, len(t.sizes), [{"first": a, "behind": b} for a, b in t.keyframes()]) for i, t in enumerate(probe(d or b""))]
+            return [(k, i, t.kind, t.codec, t.seconds(), len(t.starts), spans(t.keyframes())) for i, t in enumerate(probe(d or b""))]
 
         return row
 
-    span = pa.struct([("first", pa.int64()), ("behind", pa.int64())])
     return map_rows(
-        renamed(files, {"media_id": key, "data": data}), ["media_id", "data"], make, "media_id long, track int, kind string, codec string, seconds double, samples long, keyframes array<struct<first:long,behind:long>>",
-        pa.schema([("media_id", pa.int64()), ("track", pa.int32()), ("kind", pa.string()), ("codec", pa.string()), ("seconds", pa.float64()), ("samples", pa.int64()), ("keyframes", pa.list_(span))]), repeat=True,
+        renamed(files, {"media_id": key, "data": data}), ["media_id", "data"], make, "media_id long, track int, kind string, codec string, seconds double, samples long, keyframes " + SPANS_DDL,
+        pa.schema([("media_id", pa.int64()), ("track", pa.int32()), ("kind", pa.string()), ("codec", pa.string()), ("seconds", pa.float64()), ("samples", pa.int64()), ("keyframes", SPANS)]), repeat=True,
     )
 
 
@@ -211,12 +317,12 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             data = write(payload)
             tracks = probe(data)
             back = samples(data, tracks[0])
-            return d, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(tracks)
+            return d, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(tracks), spans(tracks[0].keyframes())
 
         return row
 
     return map_rows(
         renamed(docs, {"doc_id": doc_id, "text": text}), ["doc_id", "text"], make,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
-        pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]),
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes " + SPANS_DDL,
+        pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("keyframes", SPANS)]),
     )

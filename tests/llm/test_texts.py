@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 
 import pytest
 
@@ -207,8 +208,6 @@ def test_language_of_held_out_texts(spark):
     assert len(got) == len(rows)
     by = {r["doc_id"]: r for r in got}
     known = {d: lang for d, _, lang in rows[:600]}
-    import zlib
-
     assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2) for d, r in by.items() if d is not None)
     out = [r for r in got if r["held_out"] and r["doc_id"] in known]
     assert sum(r["lang_pred"] == known[r["doc_id"]] for r in out) >= 0.97 * len(out)
@@ -369,3 +368,56 @@ def test_the_longest_readable_part_of_an_expression_counts():
     scan = licenses.Scanner().scan
     assert scan("xspdx-license-identifier: MIT")[5] == "" and scan("license_expression = ISC")[5] == "spdx-isc"
     assert scan("SPDX-License-Identifier\n: MIT")[5] == "" and scan("é SPDX License Identifier:\tMIT\nOR ISC")[8] == "mit"
+
+
+def test_media_columns_match_brute_force(spark):
+    rows = corpus() + [(900, "x" * 3_000_000)]
+    for r in media.media_columns(frame(spark, rows)).collect():
+        texts = [(t or "").encode() for d, t in rows if d == r["doc_id"]]
+        raw = texts[0] if r["doc_id"] != 5 else texts[-1]
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        data = media.write(payload)
+        at = data.index(payload)
+        keys = [(at + i, at + i + 64) for i in range(0, len(payload), 64 * media.KEY_EVERY)]
+        assert [(k["first"], k["behind"]) for k in r["keyframes"]] == keys
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(payload[-64:])
+        listed = ",".join(f"{a}-{b}" for a, b in keys)
+        assert r["feature"] == f"raw;{len(payload) / 8000:.6f};{len(payload) // 64};{len(keys)};{zlib.crc32(listed.encode()):08x}"
+
+
+def test_damaged_files_take_no_memory_and_give_no_error():
+    import resource
+
+    def track(*tables):
+        table = media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(78))), *tables)
+        return media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIII", 0, 0, 1000, 2500)), media.box(b"minf", table))))
+
+    most = 0xFFFFFFFF
+    sizes, places = media.full(b"stsz", struct.pack(">II", 1, most)), media.full(b"stco", struct.pack(">II", 1, 8))
+    runs = media.full(b"stsc", struct.pack(">I4I", 2, 1, most, 1, most) + struct.pack(">2I", most, 1))
+    deep = b""
+    for _ in range(5000):
+        deep = media.box(b"moov", deep)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for data in (track(sizes), track(sizes, places), track(sizes, places, runs), track(media.full(b"stz2", struct.pack(">II", 4, most))), track(media.full(b"co64", struct.pack(">Iq", 1, -5)), sizes, runs), deep, track(media.full(b"stts", struct.pack(">I", most)))):
+        for t in media.probe(data):
+            t.keyframes()
+            media.samples(data, t)
+        media.feature(media.probe(data))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_samples_of_fragments():
+    payload = bytes(range(200))
+    head = media.box(b"moov", media.box(b"trak", media.box(b"tkhd", struct.pack(">IIII", 3, 0, 0, 7)), media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIII", 0, 0, 100, 0)), media.box(b"minf", media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1), media.box(b"mp4a", bytes(28))))))), media.box(b"mvex", media.full(b"trex", struct.pack(">5I", 7, 1, 10, 20, 0x10000))))
+
+    def moof(place):
+        run = media.box(b"trun", struct.pack(">IIiI", 0x305, 3, place, 0), struct.pack(">6I", 10, 50, 10, 100, 10, 50))
+        return media.box(b"moof", media.box(b"traf", media.box(b"tfhd", struct.pack(">II", 0x20000, 7)), run))
+
+    data = head + moof(len(moof(0)) + 8) + media.box(b"mdat", payload)
+    (t,) = media.probe(data)
+    assert media.samples(data, t) == payload and t.sizes.tolist() == [50, 100, 50]
+    assert [data[a:b] for a, b in t.keyframes()] == [payload[:50]]
+    assert (t.codec, t.seconds()) == ("mp4a", 0.3)
