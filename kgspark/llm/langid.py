@@ -8,11 +8,13 @@ rejected: the bound is a share of the smallest similarity but for a few of the s
 
 Null texts and texts without a letter are `und` with score 0 and are rejected. Documents with a null
 language or id, or under `least_letters` bytes of letters, teach nothing. With no documents to learn from, every text is
-`und`. Repeated rows count as often as they stand. A table without rows gives none.
+`und`. A very long text is one vector, made piece by piece. Equal cosines give the first language in
+alphabetical order. A table without rows gives none.
 
 Every language is learned, each in a task of its own that sends the driver its centroids. It is learned
 from at most `sample` documents, those with the smallest hashes of their ids among the ones with enough
-letters. Document frequencies count every document.
+letters; there an id counts once however many rows it has, with the smallest of their vectors. Document
+frequencies count every row.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import tune
 
 WIDTH = 1 << 12
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII other than a-z becomes blank; bytes of other characters stay.
 LETTERS = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 BLANKS = re.compile(rb" +")
@@ -121,11 +124,15 @@ def learn(labelled: DataFrame, sample: int = 400, clusters: int = 4, least_lette
         yield pa.RecordBatch.from_arrays(columns, names=["gram", "lang", "docs"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each language and mark the smallest counts; a task meets few marks, repeated rows share one."""
+        least: dict[tuple[str, int], bytes] = {}
         for batch in batches:
-            rows = [trigrams(t) for t in batch.column(2).to_pylist()]
-            enough = [i for i, r in enumerate(rows) if r.sum() >= least_letters]
-            kept = pa.array(enough, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array([rows[i].astype("<u4").tobytes() for i in enough], pa.binary())], names=["mark", "lang", "counts"])
+            for mark, own_lang, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (grams := trigrams(t)).sum() >= least_letters:
+                    own = grams.astype("<u4").tobytes()
+                    least[own_lang, mark] = min(own, least.get((own_lang, mark), own))
+        if least:
+            yield pa.RecordBatch.from_arrays([pa.array([m for _, m in least], pa.int64()), pa.array([k for k, _ in least], pa.string()), pa.array([*least.values()], pa.binary())], names=["mark", "lang", "counts"])
 
     tune(labelled.sparkSession)
     seen, counts = np.zeros(WIDTH + 1), {}
@@ -149,7 +156,7 @@ def learn(labelled: DataFrame, sample: int = 400, clusters: int = 4, least_lette
         lang = table.column("lang")[0].as_py()
         return pa.table([pa.array([lang] * len(c), pa.string()), pa.array([r.astype("<f4").tobytes() for r in c], pa.binary()), pa.array([bound] * len(c), pa.float64())], names=["lang", "centroid", "bound"])
 
-    sampled = picked.select(mark.alias("mark"), "lang", "text").mapInArrow(vectors, "mark long, lang string, counts binary")
+    sampled = picked.select(mark.alias("mark"), "lang", "text").mapInArrow(vectors, "mark long, lang string, counts binary").groupBy("lang", "mark").agg(F.min("counts").alias("counts"))
     found = sorted(tuple(r) for r in sampled.groupBy("lang").applyInArrow(centroids_of, "lang string, centroid binary, bound double").collect())
     centroids = [np.frombuffer(c, "<f4").reshape(1, WIDTH) for _, c, _ in found]
     model.languages, bounds = [lang for lang, _, _ in found], [bound for _, _, bound in found]

@@ -421,3 +421,38 @@ def test_samples_of_fragments():
     assert media.samples(data, t) == payload and t.sizes.tolist() == [50, 100, 50]
     assert [data[a:b] for a, b in t.keyframes()] == [payload[:50]]
     assert (t.codec, t.seconds()) == ("mp4a", 0.3)
+
+
+def test_language_matches_brute_force(spark):
+    """Frequencies, weights, cosines and bounds of the model, counted again in plain Python."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(41)
+    own = {"en": ["the", "of", "and", "thing", "water"], "fr": ["le", "de", "et", "chose", "été"], "de": ["der", "und", "nicht", "wasser", "Straße"]}
+    rows = [(i, " ".join(rng.choice(own[k]) for _ in range(rng.randrange(3, 40))), k) for i, k in ((i, rng.choice([*own])) for i in range(200))]
+    rows += [(7, rows[7][1], rows[7][2])] * 30 + [(900, "½ ² Ⅷ ① 12 -", None), (901, "中文", None), (902, "A" * 1_500_000 + " the", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = [(t, k) for d, t, k in rows if k and zlib.crc32(str(d).encode()) % 4 != 2]
+
+    def grams(t):
+        body = b" " + re.sub(rb"[^a-z\x80-\xff]+", b" ", t.lower().encode()) + b" "
+        return Counter((int.from_bytes(body[i : i + 3], "big") * 2_654_435_761 % (1 << 32)) >> 20 for i in range(len(body) - 2))
+
+    model = langid.learn(df.where("lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"), sample=50, clusters=3)
+    seen = Counter(g for t, _ in taught for g in grams(t))
+    for g in range(langid.WIDTH):
+        assert model.weights[g] == pytest.approx(math.log((1 + len(taught)) / (1 + seen[g])) + 1, rel=1e-5)
+    got = {r["doc_id"]: r for r in langid.identify(df, sample=50, clusters=3).collect()}
+    for d, t, _ in rows:
+        if d == 900:
+            assert (got[d]["lang_pred"], got[d]["score"], got[d]["rejected"]) == ("und", 0.0, True)
+            continue
+        x = {g: math.sqrt(n) * float(model.weights[g]) for g, n in grams(t).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        cosines = [sum(v * float(c[g]) for g, v in x.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert got[d]["score"] == pytest.approx(min(1, max(0, cosines[best])), abs=1e-4)
+        assert got[d]["lang_pred"] in {model.languages[i] for i, c in enumerate(cosines) if c > cosines[best] - 1e-5}
+        if abs(cosines[best] - model.bounds[best]) > 1e-4:
+            assert got[d]["rejected"] == (cosines[best] < model.bounds[best])
