@@ -2,6 +2,11 @@
 
 Each stage works on all documents that its predecessor kept; what it decides is in what it returns.
 SQL cannot express a learned classifier or a tokenizer, so the result is tested against brute force.
+
+Null and empty texts and those without letters are refused by the first two stages, whatever else they carry.
+Rows with a null doc_id are judged by their text alone and have no duplicates. Of repeated rows of one doc_id one
+stays. Of documents that are alike the smallest doc_id stays. Very long texts pass whole, as any other. Empty
+tables give empty ones. Further columns of documents are handed on, whatever their names, until the last stage.
 """
 
 from __future__ import annotations
@@ -50,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; the tables between the stages go when they are written."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark):
+        for name, stage in STAGES:
+            docs = saved(stage(spark, docs, sf_dir), name, keep=name == STAGES[-1][0])
+    return docs
