@@ -18,7 +18,7 @@ BATCH_ROWS = 64
 #: Bytes of texts that are looked at together where that saves time, and characters of a text encoded at once.
 WINDOW_BYTES, PIECE = 8 << 20, 4 << 20
 #: Entries of each of the two generations of a memo of encoded chunks. It changes speed alone.
-MEMO_ENTRIES, WORD_ENTRIES = 500_000, 700_000
+MEMO_ENTRIES, WORD_ENTRIES = 500_000, 450_000
 
 
 def tune(spark: SparkSession) -> None:
