@@ -192,16 +192,38 @@ class Compiler:
             return Rel(pairs.select(F.lit(True).alias("__unit")))
         return Rel(pairs.select(*(c for n, v in got.items() for c in parts(n, v))), set(got))
 
+    def star(self, group: list[S.Pattern]) -> Rel | None:
+        """Solutions of patterns that share a subject variable, if the graph finds them by one scan of a table."""
+        find = getattr(self.graph, "star", None)
+        if find is None or self.scope[0] != "all":
+            return None
+        df = find([(t.p, None if isinstance(t.o, Var) else t.o) for t in group])
+        if df is None:
+            return None
+        subject = group[0].s.name
+        got = {subject: Value(F.col("s"), node_kind(F.col("s")), F.lit(""), F.lit(""), F.lit(None).cast("double"), node=True)}
+        got |= {t.o.name: Value(*(F.col(f"o{i}{n}") for n in ("", "_kind", "_dt", "_lang", "_num"))) for i, t in enumerate(group) if isinstance(t.o, Var)}
+        return Rel(df.select(*(c for n, v in got.items() for c in parts(n, v))), set(got), set(), {subject})
+
+    def fused(self, patterns: list[S.Pattern | Rel]) -> list[tuple[float, S.Pattern | Rel]]:
+        """Patterns and tables with a guess of their rows; stars that one scan answers are tables."""
+        rows = lambda x: self.graph.size_hint(x.p if isinstance(x.p, str) else None) * (0.001 if not isinstance(x.s, Var) else 1) * (0.1 if not isinstance(x.o, Var) else 1)
+        stars: dict[str, list[S.Pattern]] = {}
+        for x in patterns:
+            if not isinstance(x, Rel) and isinstance(x.s, Var) and isinstance(x.p, str):
+                stars.setdefault(x.s.name, []).append(x)
+        out, done = [], []
+        for name, group in stars.items():
+            objects = [x.o.name for x in group if isinstance(x.o, Var)]
+            if len(group) > 1 and name not in objects and len(set(objects)) == len(objects) and (rel := self.star(group)):
+                out.append((min(map(rows, group)), rel))
+                done += map(id, group)
+        return out + [(1.0 if isinstance(x, Rel) else rows(x), x) for x in patterns if id(x) not in done]
+
     def triples(self, patterns: list[S.Pattern]) -> Rel:
         todo: list[tuple[float, set[str], S.Pattern | Rel]] = []
-        for t in patterns:
-            for x in self.triple(t):
-                if isinstance(x, Rel):
-                    todo.append((1.0, x.names, x))
-                else:
-                    names = {y.name for y in (x.s, x.p, x.o) if isinstance(y, Var)}
-                    rows = self.graph.size_hint(x.p if isinstance(x.p, str) else None) * (0.001 if not isinstance(x.s, Var) else 1) * (0.1 if not isinstance(x.o, Var) else 1)
-                    todo.append((rows, names, x))
+        for rows, x in self.fused([x for t in patterns for x in self.triple(t)]):
+            todo.append((rows, x.names if isinstance(x, Rel) else {y.name for y in (x.s, x.p, x.o) if isinstance(y, Var)}, x))
         out: Rel | None = None
         while todo:
             near = [x for x in todo if out is not None and x[1] & out.names] or todo

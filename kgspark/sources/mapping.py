@@ -85,13 +85,10 @@ class Branch:
     key_type: str = "bigint"
     value_type: str = "string"
     rows: float = 1.0
+    unique: bool = False  # whether no two rows have one key
 
-    def quads(self, s: Constant, o: Constant) -> DataFrame | None:
-        table = self.table
-        if s is not None:
-            if isinstance(s, Literal) or not s.startswith(self.prefix):
-                return None
-            table = table.where(self.key == F.lit(s[len(self.prefix) :]).try_cast(self.key_type))
+    def having(self, table: DataFrame, o: Constant) -> DataFrame | None:
+        """The rows of the table that have the object, or any; None if the branch has no such objects."""
         if isinstance(o, Literal):
             if self.kind != "literal" or o.language or o.datatype != self.datatype:
                 return None
@@ -101,12 +98,32 @@ class Branch:
                 return None
             rest = o[len(self.value_prefix) :]
             table = table.where(self.value == F.lit(rest).try_cast(self.value_type))
+        return table.where(self.value.isNotNull())
+
+    @property
+    def subject(self) -> Column:
+        return F.concat(F.lit(self.prefix), self.key.cast("string"))
+
+    @property
+    def term(self) -> tuple[Column, Column, Column, Column, Column]:
+        """Text, kind, datatype, language and number of the object."""
         text = self.value.cast("string")
-        return table.where(self.value.isNotNull()).select(
-            F.concat(F.lit(self.prefix), self.key.cast("string")).alias("s"), F.lit(self.predicate).alias("p"), (F.concat(F.lit(self.value_prefix), text) if self.value_prefix else text).alias("o"),
-            F.lit(self.kind).alias("o_kind"), F.lit(self.datatype if self.kind == "literal" else "").alias("o_dt"), F.lit("").alias("o_lang"), F.lit("default").alias("graph_kind"), F.lit(None).cast("string").alias("graph_name"),
-            (self.value if self.kind == "literal" and self.datatype in NUMERIC else F.lit(None)).cast("double").alias("o_num"),
-        )
+        text = F.concat(F.lit(self.value_prefix), text) if self.value_prefix else text
+        number = (self.value if self.kind == "literal" and self.datatype in NUMERIC else F.lit(None)).cast("double")
+        return text, F.lit(self.kind), F.lit(self.datatype if self.kind == "literal" else ""), F.lit(""), number
+
+    def quads(self, s: Constant, o: Constant) -> DataFrame | None:
+        table = self.table
+        if s is not None:
+            if isinstance(s, Literal) or not s.startswith(self.prefix):
+                return None
+            table = table.where(self.key == F.lit(s[len(self.prefix) :]).try_cast(self.key_type))
+        table = self.having(table, o)
+        if table is None:
+            return None
+        names = ("o", "o_kind", "o_dt", "o_lang", "o_num")
+        o_, kind, dt, lang, num = (c.alias(n) for c, n in zip(self.term, names, strict=True))
+        return table.select(self.subject.alias("s"), F.lit(self.predicate).alias("p"), o_, kind, dt, lang, F.lit("default").alias("graph_kind"), F.lit(None).cast("string").alias("graph_name"), num)
 
 
 @dataclass
@@ -123,10 +140,28 @@ class VirtualGraph(Graph):
     def size_hint(self, p: Constant) -> float:
         return sum(b.rows for b in self.branches if p is None or b.predicate == p)
 
-    def add_table(self, df: DataFrame, name: str, key: str, links: dict[str, str] | None = None, strip: str = "", rows: float = 1.0, skip: tuple[str, ...] = ()) -> None:
+    def star(self, wanted: list[tuple[str, Constant]]) -> DataFrame | None:
+        """s and the objects (o0, o0_kind, o0_dt, o0_lang, o0_num, o1 ...) of the subjects that have all these predicates,
+        by one scan of each table; None where a table has no unique key, or two columns of one predicate."""
+        found = []
+        for prefix in dict.fromkeys(b.prefix for b in self.branches):
+            own = [[b for b in self.branches if b.prefix == prefix and b.predicate == p] for p, _ in wanted]
+            if not all(own):
+                continue
+            if any(len(x) > 1 or not x[0].unique or x[0].table is not own[0][0].table for x in own):
+                return None
+            table: DataFrame | None = own[0][0].table
+            for (b,), (_, o) in zip(own, wanted, strict=True):
+                table = table if table is None else b.having(table, o)
+            if table is not None:
+                terms = [c.alias(f"o{i}{n}") for i, (b,) in enumerate(own) for c, n in zip(b.term, ("", "_kind", "_dt", "_lang", "_num"), strict=True)]
+                found.append(table.select(own[0][0].subject.alias("s"), *terms))
+        return reduce(DataFrame.unionByName, found) if found else None
+
+    def add_table(self, df: DataFrame, name: str, key: str, links: dict[str, str] | None = None, rows: float = 1.0, skip: tuple[str, ...] = (), unique: bool = True) -> None:
         """A branch for each column and one for the type `tp:<Name>`; links name the table a column refers to."""
         kinds = dict(df.dtypes)
-        base = dict(table=df, prefix=f"urn:{name}:", key=F.col(key), key_type=kinds[key], rows=rows)
+        base = dict(table=df, prefix=f"urn:{name}:", key=F.col(key), key_type=kinds[key], rows=rows, unique=unique)
         self.branches.append(Branch(**base, predicate=TYPE, value=F.lit(TP + name.capitalize()), kind="iri"))
         for c, t in df.dtypes:
             if c in skip or t not in DATATYPES:
@@ -149,5 +184,5 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> VirtualGraph:
     graph.add_table(read("part"), "part", "p_partkey", rows=0.2)
     graph.add_table(read("orders"), "orders", "o_orderkey", {"o_custkey": "customer"}, rows=1.5)
     lines = read("lineitem").withColumn("l_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))  # no shorter key is unique
-    graph.add_table(lines, "lineitem", "l_key", {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, rows=6.0, skip=("l_key",))
+    graph.add_table(lines, "lineitem", "l_key", {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, rows=6.0, skip=("l_key",), unique=False)
     return graph

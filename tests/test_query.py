@@ -153,3 +153,18 @@ def test_patterns_built_in_python(spark, people):
     assert sorted(r["x"].replace(EX, "") for r in q.execute().collect()) == ["_:b1", "alice"]
     assert GraphQuery(people).execute().count() == 1
     assert GraphQuery(people).where(var("x"), const(TYPE), const(EX + "Person")).execute().count() == 3
+
+
+def test_a_star_over_one_table_is_one_scan(spark):
+    from kgspark.plans.compiler import query
+    from kgspark.sources.mapping import tpch_graph
+
+    graph = tpch_graph(spark, "/root/testdata/sf0.001")
+    df = query(graph, "SELECT ?c ?n ?b WHERE { ?c a tp:Customer ; tp:c_name ?n ; tp:c_acctbal ?b ; tp:nation ?x . FILTER(?b > 9000) }")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1 and "GreaterThan(c_acctbal,9000.0)" in plan
+    assert df.count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").where("c_acctbal > 9000").count()
+    two = query(graph, "SELECT ?a WHERE { ?a tp:c_name ?n ; tp:c_mktsegment ?n }")  # an object that is shared is joined
+    assert two.count() == 0
+    either = query(graph, "SELECT ?s WHERE { ?s tp:nation ?n ; a ?t }")  # customers and suppliers
+    assert either.count() == sum(spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count() for t in ("customer", "supplier"))
