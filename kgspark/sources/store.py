@@ -2,6 +2,9 @@
 
 The table is partitioned by graph kind and a hash bucket of the predicate, so a scan of one predicate
 reads one bucket of each graph kind. The store is a bag: equal triples are kept.
+
+Quads lie in the folder quads-N with the highest N that was written to its end. Clearing writes the next
+one, whose mark of success puts it in the place of the last; a driver lost before leaves all as it was.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kgspark.checkpoints import delete
 from kgspark.terms import PROV, QUAD_DDL, as_quads
 
 BUCKETS = 16
@@ -50,8 +54,19 @@ class QuadStore:
                 raise
             return self.spark.createDataFrame([], ddl)
 
+    def _generation(self) -> int:
+        jvm = self.spark._jvm
+        top = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
+        whole = [n for n in names if n.startswith("quads-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return max((int(n.removeprefix("quads-")) for n in whole), default=0)
+
+    def _quads(self) -> DataFrame:
+        return self._read(f"quads-{self._generation()}", QUAD_DDL + ", p_bucket int")
+
     def quads(self) -> DataFrame:
-        return self._read("quads", QUAD_DDL + ", p_bucket int").drop("p_bucket")
+        return self._quads().drop("p_bucket")
 
     def append(self, triples: DataFrame, graph_kind: str = "default", graph_name: str | None = None, prov=None, actor: str | None = None) -> None:
         """Insert all rows with one graph and provenance."""
@@ -59,7 +74,7 @@ class QuadStore:
         if prov is not None:
             rows = rows.withColumn("prov", prov)
         own = rows.withColumn("p_bucket", F.pmod(F.hash("p"), F.lit(BUCKETS)))
-        own.write.mode("append").partitionBy("graph_kind", "p_bucket").parquet(f"{self.path}/quads")
+        own.write.mode("append").partitionBy("graph_kind", "p_bucket").parquet(f"{self.path}/quads-{self._generation()}")
         self.log("insert", graph=self.graph_label(graph_kind, graph_name), actor=actor)
 
     @staticmethod
@@ -73,7 +88,7 @@ class QuadStore:
 
     def find(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
         """Quads with these texts; a given predicate prunes to its bucket."""
-        out = self._read("quads", QUAD_DDL + ", p_bucket int")
+        out = self._quads()
         if p is not None:
             out = out.where(F.col("p_bucket") == F.pmod(F.hash(F.lit(p)), F.lit(BUCKETS)))
         for name, value in (("s", s), ("p", p), ("o", o)):
@@ -88,15 +103,11 @@ class QuadStore:
         return self.quads().select("graph_kind", "graph_name").distinct()
 
     def clear(self, kind: str | None = None, name: str | None = None) -> None:
-        """Remove one graph, or all. What stays is written anew beside the old table, which is then replaced."""
+        """Remove one graph, or all. What stays is written anew beside the old folder, which then goes."""
         keep = self.quads().where(F.lit(False)) if kind is None else self.quads().where(~((F.col("graph_kind") == kind) & F.col("graph_name").eqNullSafe(F.lit(name))))
-        fresh = f"{self.path}/quads-{uuid.uuid4().hex}"
-        keep.withColumn("p_bucket", F.pmod(F.hash("p"), F.lit(BUCKETS))).write.partitionBy("graph_kind", "p_bucket").parquet(fresh)
-        jvm = self.spark._jvm
-        old, new = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{self.path}/quads", fresh))
-        fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(new, old)
+        now = self._generation()
+        keep.withColumn("p_bucket", F.pmod(F.hash("p"), F.lit(BUCKETS))).write.mode("overwrite").partitionBy("graph_kind", "p_bucket").parquet(f"{self.path}/quads-{now + 1}")
+        delete(self.spark, f"{self.path}/quads-{now}")
         self.log("clear", graph=None if kind is None else self.graph_label(kind, name))
 
     def statistics(self) -> DataFrame:
