@@ -196,7 +196,7 @@ TREE = "t0(a, b) AS (SELECT DISTINCT 'urn:type:' || p_type, 'urn:brand:' || p_br
 TYPED = "SELECT 'urn:part:' || p_partkey AS a, 'urn:type:' || p_type AS b FROM part"
 add("rdfs_subclass_closure", f"WITH RECURSIVE {TREE} SELECT a, b FROM tc")(lambda spark, sf: rdfs.hierarchy(class_tree(spark, sf)))
 add("rdfs_types", f"WITH RECURSIVE {TREE}, t AS ({TYPED}) SELECT t.a, tc.b FROM t JOIN tc ON t.b = tc.a UNION SELECT a, b FROM t")(
-    lambda spark, sf: (lambda q: rdfs.edges(q, TYPE).union(rdfs.lifted_types(rdfs.edges(q, TYPE), rdfs.hierarchy(q))).distinct())(class_tree(spark, sf))
+    lambda spark, sf: rdfs.inferred_types(class_tree(spark, sf))
 )
 
 
@@ -248,9 +248,24 @@ instances("owl_dl_complement", owl.And(("tp:Customer", owl.Not("tp:Builder"))),
 instances("owl_dl_union", owl.Or(("tp:Rich", "tp:Builder")), CX + "WHERE c_acctbal > 9000 OR c_mktsegment = 'BUILDING'")
 instances("owl_dl_intersection", owl.And(("tp:Rich", "tp:Builder")), CX + "WHERE c_acctbal > 9000 AND c_mktsegment = 'BUILDING'")
 instances("owl_dl_oneof", owl.OneOf(("urn:customer:1", "urn:customer:2", "urn:nobody")), CX + "WHERE c_custkey IN (1, 2)")
-add("owl_sameas_components", "WITH RECURSIVE e(a, b) AS (SELECT c_custkey, c_custkey - 7 FROM customer WHERE c_custkey >= 7 UNION ALL SELECT c_custkey - 7, c_custkey FROM customer WHERE c_custkey >= 7) SELECT a AS node, a % 7 AS component FROM e GROUP BY a")(
-    lambda spark, sf: components(table(spark, sf, "customer").where("c_custkey >= 7").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") - 7).alias("b")))
+
+
+def same_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer is the same as the one seven keys before."""
+    c = table(spark, sf, "customer").where("c_custkey >= 7")
+    name = lambda k: F.concat(F.lit("urn:customer:"), k)
+    return as_quads(c.select(name(F.col("c_custkey")).alias("s"), F.lit(OWL + "sameAs").alias("p"), name(F.col("c_custkey") - 7).alias("o")))
+
+
+add("owl_sameas_components", "WITH n AS (SELECT c_custkey AS k FROM customer WHERE c_custkey >= 7 UNION SELECT c_custkey - 7 FROM customer WHERE c_custkey >= 7) SELECT 'urn:customer:' || k AS node, min('urn:customer:' || k) OVER (PARTITION BY k % 7) AS component FROM n")(
+    lambda spark, sf: owl.Ontology(same_customers(spark, sf)).same_individuals()
 )
+add("owl_lite_superclasses", "SELECT class FROM (VALUES ('tp:Rich'), ('tp:Customer'), ('tp:Client')) t(class)")(lambda spark, sf: owl.Ontology(market(spark, sf)).superclasses("tp:Rich"))
+add("owl_lite_subclasses", "SELECT class FROM (VALUES ('tp:Rich'), ('tp:Customer'), ('tp:Client')) t(class)")(lambda spark, sf: owl.Ontology(market(spark, sf)).subclasses("tp:Client"))
+add(
+    "owl_lite_realized",
+    "SELECT 'urn:customer:' || c_custkey AS individual, class FROM customer, (VALUES ('tp:Customer'), ('tp:Client')) t(class) WHERE c_acctbal <= 9000 UNION ALL SELECT 'urn:customer:' || c_custkey, 'tp:Rich' FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT 'urn:customer:' || c_custkey, 'tp:Builder' FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'urn:orders:' || o_orderkey, 'tp:Orders' FROM orders",
+)(lambda spark, sf: owl.Ontology(market(spark, sf)).realized())
 
 
 # SHACL.
@@ -269,11 +284,16 @@ shape("shacl_maxcount", FOCUS("maxCount", NONE, f"{N_ORDERS} > 12"), C("maxCount
 shape("shacl_length", FOCUS("minLength", "c_mktsegment", "length(c_mktsegment) < 9") + " UNION ALL " + FOCUS("maxLength", "c_mktsegment", "length(c_mktsegment) > 9"), C("minLength", 9), C("maxLength", 9), path="tp:c_mktsegment")
 shape("shacl_pattern", FOCUS("pattern", "c_mktsegment", "NOT regexp_matches(c_mktsegment, '(?i)^[a-m]')"), C("pattern", "^[a-m]", "i"), path="tp:c_mktsegment")
 shape("shacl_in", FOCUS("in", "c_mktsegment", "c_mktsegment NOT IN ('BUILDING', 'MACHINERY')"), C("in", ["BUILDING", "MACHINERY"]), path="tp:c_mktsegment")
-RANGE_SQL = " UNION ALL ".join(FOCUS(k, NONE, w) for k, w in (("minInclusive", "c_acctbal < 0"), ("maxExclusive", "c_acctbal >= 9500")))
+RANGE_SQL = " UNION ALL ".join(FOCUS(k, "CAST(c_acctbal AS VARCHAR)", w) for k, w in (("minInclusive", "c_acctbal < 0"), ("maxExclusive", "c_acctbal >= 9500")))
 shape("shacl_range", RANGE_SQL, C("minInclusive", "0"), C("maxExclusive", "9500"), path="tp:c_acctbal")
-QUERIES["shacl_range"] = (lambda f: lambda spark, sf: f(spark, sf).withColumn("value", F.lit(None).cast("string")))(QUERIES["shacl_range"])
-shape("shacl_lessthan", FOCUS("lessThan", NONE, "NOT l_linenumber < l_quantity", "'urn:lineitem:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey", "lineitem"), C("lessThan", "tp:l_quantity"), path="tp:l_linenumber", target=("class", "tp:Lineitem"))
-QUERIES["shacl_lessthan"] = (lambda f: lambda spark, sf: f(spark, sf).withColumn("value", F.lit(None).cast("string")))(QUERIES["shacl_lessthan"])
+BOUNDS_SQL = " UNION ALL ".join(FOCUS(k, "CAST(c_acctbal AS VARCHAR)", w) for k, w in (("minExclusive", "c_acctbal <= 500.5"), ("maxInclusive", "c_acctbal > 9000")))
+shape("shacl_bounds", BOUNDS_SQL, C("minExclusive", "500.5"), C("maxInclusive", "9000"), path="tp:c_acctbal")
+shape("shacl_lessthan", FOCUS("lessThan", "CAST(l_linenumber AS VARCHAR)", "NOT l_linenumber < l_quantity", "'urn:lineitem:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey", "lineitem"), C("lessThan", "tp:l_quantity"), path="tp:l_linenumber", target=("class", "tp:Lineitem"))
+shape("shacl_lessthanorequals", FOCUS("lessThanOrEquals", "CAST(c_custkey AS VARCHAR)", "NOT c_custkey <= c_acctbal"), C("lessThanOrEquals", "tp:c_acctbal"), path="tp:c_custkey")
+shape("shacl_disjoint", FOCUS("disjoint", "n_name", "true", "'urn:nation:' || n_nationkey", "nation"), C("disjoint", "tp:n_name"), path="tp:n_name", target=("class", "tp:Nation"))
+shape("shacl_node", FOCUS("node", "'urn:nation:' || c_nationkey", "c_nationkey >= 5"), C("node", [C("in", [f"urn:nation:{i}" for i in range(5)])]), path="tp:nation")
+shape("shacl_not", FOCUS("not", "'urn:nation:' || c_nationkey", "c_nationkey < 5"), C("not", [C("in", [f"urn:nation:{i}" for i in range(5)])]), path="tp:nation")
+shape("shacl_hasvalue_term", FOCUS("hasValue", NONE, "c_mktsegment <> 'BUILDING'") + " UNION ALL " + FOCUS("hasValue", NONE, "true"), C("hasValue", shacl.Term("BUILDING", "literal")), C("hasValue", shacl.Term("BUILDING")), path="tp:c_mktsegment")
 shape("shacl_closed", " UNION ALL ".join(FOCUS("closed", f"'{p}'", "true", "'urn:nation:' || n_nationkey", "nation") for p in ("tp:n_nationkey", "tp:region")), C("closed", (["tp:n_name"], [TYPE])), target=("class", "tp:Nation"))
 shape("shacl_nodekind", FOCUS("nodeKind", "'urn:nation:' || c_nationkey", "true"), C("nodeKind", shacl.SH + "Literal"), path="tp:nation")
 shape("shacl_hasvalue", FOCUS("hasValue", NONE, "c_mktsegment <> 'BUILDING'"), C("hasValue", "BUILDING"), path="tp:c_mktsegment")
@@ -341,7 +361,7 @@ add(
     "ts_ensemble",
     f"WITH {PTS}, {Z_SQL}, {Q_SQL}, {E_SQL}, u AS (SELECT * FROM zr UNION ALL SELECT * FROM qr UNION ALL SELECT * FROM er), v AS (SELECT *, sum(CAST(is_anomaly AS INT)) OVER (PARTITION BY label, tie) >= 0.6 * 3 AS agreed FROM u) SELECT label, tie, round(score, 6) AS score, round(CAST(threshold AS DOUBLE), 6) AS threshold, is_anomaly OR agreed AS is_anomaly, CASE WHEN agreed THEN 'ensemble_' ELSE '' END || method AS method FROM v",
 )(lambda spark, sf: scored(timeseries.security_preset(points(spark, sf), tie="tie", key=("label", "tie"))))
-add("ts_last_counts", f"WITH {PTS} SELECT label, max(t) AS t FROM p GROUP BY label")(lambda spark, sf: points(spark, sf).groupBy("label").agg(F.max("timestamp").alias("t")))
+add("ts_last_counts", f"WITH {PTS} SELECT label, x AS value FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY t DESC, tie DESC) = 1")(lambda spark, sf: timeseries.last_counts(points(spark, sf), tie="tie"))
 
 # Rules.
 POLICY = '{"name": "logins", "priority": 10, "rules": [{"id": "r1", "name": "bad ip", "conditions": [{"type": "TripleExists", "config": {"subject": "?e", "predicate": "http://example.org/destIP", "object": "10.0.0.50"}}, {"type": "NumericComparison", "config": {"left": {"type": "Variable", "value": "limit"}, "operator": "GreaterThan", "right": {"type": "Constant", "value": 5}}}], "actions": [{"type": "SecurityAction", "config": {"action_type": "Block", "message": "stop it", "details": {}}}, {"type": "AddTriple", "config": {"subject": "urn:net", "predicate": "urn:state", "object": "urn:alarm"}}], "severity": "High"}]}'
@@ -353,6 +373,9 @@ add("rule_datalog_fixpoint", f"WITH {UP} SELECT 'urn:customer:' || a AS s, 'tp:a
 add("engine_process", f"WITH {WHO} SELECT count(*) AS inferred, CAST(0 AS BIGINT) AS actions, CAST(0 AS BIGINT) AS violations FROM (SELECT s, 'w' AS p, o FROM who UNION SELECT s, 't', b FROM who, (VALUES ('tp:Located'), ('tp:Party')) t(b) UNION SELECT o, 't', b FROM who, (VALUES ('tp:Place'), ('tp:Area'), ('tp:Thing')) t(b))")(
     lambda spark, sf: rules.process(located(spark, sf), rules.Registry().register(rules.MaliciousIpRule())).statistics()
 )
+add("engine_actions", f"SELECT 'alert' AS action_type, 'high' AS severity, 'Connection to malicious IP detected: ' || {DEST} AS message FROM events WHERE {IS_NET} AND event_id % 3 < 2")(
+    lambda spark, sf: rules.process(event_triples(cyber(spark, sf)), rules.Registry().register(rules.MaliciousIpRule())).actions.select("action_type", "severity", "message")
+)
 
 # Sources and sinks.
 add(
@@ -391,6 +414,27 @@ def audit_tail(spark: SparkSession, sf: str) -> DataFrame:
     return store.audit(last=2).select("operation", "graph")
 
 
+@add("store_clear", "SELECT 'b' AS graph_name, s, p, o FROM (" + NATIONS + ")")
+def store_clear(spark: SparkSession, sf: str) -> DataFrame:
+    """What clearing one of two graphs leaves."""
+    store = QuadStore(spark, f"{shared_dir(spark)}/kgspark-store-{uuid.uuid4().hex}")
+    own = nation_quads(spark, sf).select("s", "p", "o", "o_kind", "o_dt", "o_lang")
+    store.append(own, "named", "a")
+    store.append(own, "named", "b")
+    store.clear("named", "a")
+    return store.quads().select("graph_name", "s", "p", "o")
+
+
+@add("store_graphs", "SELECT 'default' AS graph_kind, NULL AS graph_name, count(*) * 4 AS n FROM nation UNION ALL SELECT 'named', 'a', count(*) * 4 FROM nation")
+def store_graphs(spark: SparkSession, sf: str) -> DataFrame:
+    store = QuadStore(spark, f"{shared_dir(spark)}/kgspark-store-{uuid.uuid4().hex}")
+    own = nation_quads(spark, sf).select("s", "p", "o", "o_kind", "o_dt", "o_lang")
+    store.append(own)
+    store.append(own, "named", "a")
+    counts = [store.graph(k, n).groupBy("graph_kind", "graph_name").agg(F.count("*").alias("n")) for k, n in (("default", None), ("named", "a"))]
+    return counts[0].unionByName(counts[1])
+
+
 # Streams, run to the end of what is there.
 def streamed(spark: SparkSession, sf: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     path = f"{shared_dir(spark)}/kgspark-stream-{uuid.uuid4().hex}"
@@ -415,7 +459,7 @@ CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 add("stream_tumbling", f"SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= {CLOSED}")(
     lambda spark, sf: streamed(spark, sf, streams.tumbling_counts).select(F.unix_seconds("start").alias("start"), "event_type", "n")
 )
-add("stream_sliding")(lambda spark, sf: streamed(spark, sf, streams.sliding_counts).select(F.unix_seconds("start").alias("start"), "event_type", "n"))
+add("stream_sliding", f"SELECT CAST(epoch(s) AS BIGINT) AS start, event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * i) AS s FROM events, range(4) r(i)) GROUP BY s, event_type HAVING s + INTERVAL 1 HOUR <= {CLOSED}")(lambda spark, sf: streamed(spark, sf, streams.sliding_counts).select(F.unix_seconds("start").alias("start"), "event_type", "n"))
 add(
     "stream_session",
     f"WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}",

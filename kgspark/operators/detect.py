@@ -115,6 +115,10 @@ def baseline_alerts(rows: DataFrame, metric: str, current: str, baseline: str, t
 
 
 # Threat intelligence.
+#: From the least to the most severe.
+SEVERITIES = ("info", "low", "medium", "high", "critical")
+
+
 def sample_feed(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SAMPLE_FEED), INDICATOR_DDL)
 
@@ -141,8 +145,13 @@ def upserted(feed: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def threats(values: DataFrame, feed: DataFrame, value: str, indicator_type: str) -> DataFrame:
-    """values that the feed lists, with threat_type, severity and the message. Spark broadcasts a small feed by its size."""
-    own = feed.where(F.col("indicator_type") == indicator_type).select(F.col("value").alias("_value"), "threat_type", "severity").dropDuplicates(["_value"])
+    """values that the feed lists, with threat_type, severity and the message. Spark broadcasts a small feed by its size.
+
+    Of several indicators of one value the most severe counts, then the one with the smallest id.
+    """
+    rank = F.coalesce(F.array_position(F.array(*(F.lit(x) for x in SEVERITIES)), F.lower("severity")), F.lit(0))
+    worst = F.min(F.struct((-rank).alias("rank"), "id", "threat_type", "severity")).alias("worst")
+    own = feed.where(F.col("indicator_type") == indicator_type).groupBy(F.col("value").alias("_value")).agg(worst).select("_value", "worst.threat_type", "worst.severity")
     said = F.concat(F.lit("Threat detected: "), F.col("threat_type"), F.lit(" ("), F.col("severity"), F.lit(")"))
     return values.join(own, F.col(value) == F.col("_value")).drop("_value").withColumn("threat", said)
 

@@ -6,6 +6,7 @@ anti-joins over the quads. Complement is closed-world. Cardinalities count disti
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -79,6 +80,7 @@ class Ontology:
     def __init__(self, quads: DataFrame) -> None:
         self.quads = as_quads(quads)
         self._below: DataFrame | None = None
+        self._inverses: list[tuple[str, str]] | None = None
 
     def declared(self, kind: str) -> DataFrame:
         """Things declared as Class, ObjectProperty, NamedIndividual and so on."""
@@ -142,11 +144,21 @@ class Ontology:
             return self.links(prop.property).where("not literal").select(F.col("y").alias("x"), F.col("x").alias("y"), "literal")
         literal = F.col("o_kind") == "literal"
         own = self.quads.where(F.col("p") == prop).select(F.col("s").alias("x"), F.col("o").alias("y"), literal.alias("literal"))
-        pairs = edges(self.quads, OWL + "inverseOf")
-        other = pairs.where(F.col("a") == prop).select(F.col("b").alias("q")).union(pairs.where(F.col("b") == prop).select(F.col("a").alias("q")))
-        back = self.quads.where(~literal).join(other, self.quads["p"] == other["q"], "left_semi").select(F.col("o").alias("x"), F.col("s").alias("y"), F.lit(False).alias("literal"))
+        others = {b for a, b in self.inverses() if a == prop} | {a for a, b in self.inverses() if b == prop}
+        if not others:
+            return own.distinct()
+        back = self.quads.where(F.col("p").isin(sorted(others)) & ~literal).select(F.col("o").alias("x"), F.col("s").alias("y"), F.lit(False).alias("literal"))
         return own.unionByName(back).distinct()
 
+    def inverses(self, limit: int = 100_000) -> list[tuple[str, str]]:
+        """The declared inverses, which must be at most `limit`; read once."""
+        if self._inverses is None:
+            rows = edges(self.quads, OWL + "inverseOf").limit(limit + 1).collect()
+            if len(rows) > limit:
+                raise ValueError(f"more than {limit} inverse properties are declared")
+            self._inverses = [tuple(r) for r in rows]
+        return self._inverses
+
     def property_closure(self) -> DataFrame:
         """Triples that symmetric, transitive and inverse declarations add."""
         kinds = lambda k: self.declared(k).select(F.col("s").alias("q"))
@@ -319,22 +331,29 @@ class Ontology:
         out = out.unionByName(different.where("a = b").select(F.lit("same_and_different").alias("kind"), F.col("a").alias("x"), F.col("b").alias("detail")))
         for node, e in self.expressions().items():
             if isinstance(e, Cardinality) and e.most is not None:
-                over = self._distinct_fillers(e)
+                over = self._distinct_fillers(e, moved)
                 members = types.where(F.col("b") == node).select(F.col("a").alias("x")).distinct()
                 out = out.unionByName(over.join(members, "x", "left_semi").select(F.lit("max_cardinality").alias("kind"), "x", F.lit(node).alias("detail")))
         return out.distinct()
 
-    def _distinct_fillers(self, e: Cardinality) -> DataFrame:
-        """x with more fillers that are provably different than e allows."""
-        links = self._with_filler(e.property, e.filler).select("x", "y").distinct()
-        different = edges(self.quads, OWL + "differentFrom")
-        known = different.union(different.select("b", "a")).distinct()
+    def _distinct_fillers(self, e: Cardinality, moved: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+        """x with more fillers than e allows that are all declared different from one another.
+
+        moved puts the representative of owl:sameAs in the place of a column. Sets of such fillers grow one by
+        one, in order, each with those that may still join it, so only sets that can reach the size are kept.
+        """
+        links = moved(moved(self._with_filler(e.property, e.filler).select("x", "y"), "x"), "y").distinct()
         if e.most == 0:
             return links.select("x").distinct()
+        different = moved(moved(edges(self.quads, OWL + "differentFrom"), "a"), "b")
+        known = different.union(different.select("b", "a")).where("a < b").distinct()
         pairs = links.select("x", F.col("y").alias("a")).join(known, "a").join(links.select("x", F.col("y").alias("b")), ["x", "b"])
-        return pairs.groupBy("x", "a").agg(F.count_distinct("b").alias("n")).where(F.col("n") >= e.most).select("x").distinct() if e.most == 1 else (
-            pairs.groupBy("x", "a").agg(F.count_distinct("b").alias("n")).where(F.col("n") >= e.most).groupBy("x").agg(F.count("*").alias("m")).where(F.col("m") > e.most).select("x")
-        )
+        after = pairs.groupBy("x", "a").agg(F.collect_set("b").alias("after"))
+        sets = after.select("x", F.col("after").alias("left"))
+        for size in range(2, e.most + 1):
+            sets = sets.where(F.size("left") > e.most + 1 - size).select("x", "left", F.explode("left").alias("a"))
+            sets = sets.join(after, ["x", "a"]).select("x", F.array_intersect("left", "after").alias("left"))
+        return sets.where(F.size("left") > 0).select("x").distinct()
 
     def is_consistent(self) -> bool:
         return self.clashes().isEmpty()

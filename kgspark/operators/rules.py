@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -11,7 +12,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.checkpoints import saved
+from kgspark.checkpoints import counted, discard, saved
 from kgspark.operators.closure import FixpointError
 from kgspark.operators.detect import ACTION_DDL, actions, malicious_ip_actions
 from kgspark.operators.rdfs import COLUMNS, entailed
@@ -98,8 +99,17 @@ class InferenceRule:
     conditions: list[tuple]
     conclusions: list[tuple]
 
-    def infer(self, quads: DataFrame) -> DataFrame:
-        rel = Compiler(QuadGraph(quads)).triples([Pattern(*(term(x) for x in c)) for c in self.conditions])
+    def infer(self, quads: DataFrame, fresh: DataFrame | None = None, at: int = 0) -> DataFrame:
+        """What follows from quads; with fresh, what follows with one of these in the place of condition `at`."""
+        patterns = [Pattern(*(term(x) for x in c)) for c in self.conditions]
+        if fresh is None:
+            rel = Compiler(QuadGraph(quads)).triples(patterns)
+        else:
+            rel = Compiler(QuadGraph(fresh)).triples([patterns[at]])
+            whole, rest = Compiler(QuadGraph(quads)), patterns[:at] + patterns[at + 1 :]
+            while rest:  # what shares a variable comes first, so nothing is paired in full that is bound later
+                rest.sort(key=lambda x: not any(isinstance(t, Var) and t.name in rel.names for t in (x.s, x.p, x.o)))
+                rel = whole.join(rel, whole.triples([rest.pop(0)]))
         rows = []
         for c in self.conclusions:
             s, p, o = (term(x) for x in c)
@@ -140,6 +150,8 @@ class ActionRule:
         return RuleResult(actions=reduce(DataFrame.unionByName, [actions(rel.df, **{k: column(v) for k, v in t.items()}) for t in self.templates]))
 
 
+#: Rounds of a fixpoint after which what they found is written as one table.
+MERGE = 1
 SECURITY = "https://w3id.org/security#"
 
 
@@ -161,18 +173,27 @@ def privilege_escalation_rule() -> ActionRule:
     return ActionRule("privilege_escalation_detection", conditions, templates)
 
 
-def fixpoint(quads: DataFrame, rules: list[InferenceRule], rounds: int = 50) -> DataFrame:
-    """The triples that the rules add to quads, to their fixpoint."""
-    base = as_quads(quads).select(*COLUMNS).distinct()
-    added = base.limit(0)
-    known = base
+def fixpoint(quads: DataFrame, rules: list[InferenceRule], rounds: int = 10_000) -> DataFrame:
+    """The triples that the rules add to quads, to their fixpoint.
+
+    From the second round on a rule is applied only where one of its conditions meets a triple of the last
+    round: once for each condition, which reads those triples alone. Each round saves what it has found.
+    """
+    base = saved(as_quads(quads).select(*COLUMNS).distinct(), "facts")
+    fresh = saved(reduce(DataFrame.unionByName, [r.infer(base) for r in rules]).distinct().join(base, list(COLUMNS), "left_anti"), "rules")
+    found = [fresh]
     for _ in range(rounds):
-        new = reduce(DataFrame.unionByName, [r.infer(known) for r in rules]).distinct().join(known, list(COLUMNS), "left_anti")
-        new = saved(new, "rules")
-        if new.isEmpty():
-            return added
-        added = added.unionByName(new)
-        known = saved(known.unionByName(new), "rules")
+        if not counted(fresh):
+            discard(fresh, base)
+            return reduce(DataFrame.unionByName, found[:-1]) if found[:-1] else quads.sparkSession.createDataFrame([], TRIPLE_DDL)
+        known = reduce(DataFrame.unionByName, found, base)
+        new = reduce(DataFrame.unionByName, [r.infer(known, fresh, i) for r in rules for i in range(len(r.conditions))]).distinct()
+        fresh = saved(new.join(known, list(COLUMNS), "left_anti"), "rules")
+        found.append(fresh)
+        if len(found) > MERGE:
+            merged = saved(reduce(DataFrame.unionByName, found[:-1]), "rules")
+            discard(*found[:-1])
+            found = [merged, fresh]
     raise FixpointError(f"rules did not settle in {rounds} rounds")
 
 
@@ -205,10 +226,17 @@ class Policy:
         return self.spec.get("priority", 0)
 
     def value(self, e: dict) -> object:
+        """A constant, or a column that is an aggregate over all quads."""
         if e["type"] == "Constant":
             return e["value"]
         if e["type"] == "Variable":
-            return self.variables.get(str(e["value"]).lstrip("?"))
+            name = str(e["value"]).lstrip("?")
+            if name not in self.variables:
+                raise PolicyError(f"the variable {name} has no value")
+            return self.variables[name]
+        if e["type"] == "TripleValue":  # the smallest, if there are several
+            own = e.get("value", e.get("config", e))
+            return F.min(F.when((F.col("s") == own["subject"]) & (F.col("p") == own["predicate"]), F.col("o")))
         raise PolicyError(f"value of type {e['type']} is not supported")
 
     def holds(self, c: dict) -> Column:
@@ -220,9 +248,13 @@ class Policy:
             there = F.coalesce(F.bool_or(reduce(lambda a, b: a & b, tests)), F.lit(False))
             return there if kind == "TripleExists" else ~there
         if kind == "VariableBinding":
-            return F.lit(str(self.variables.get(config["variable"].lstrip("?"))) == str(config["value"]))
+            name = config["variable"].lstrip("?")
+            return F.lit(name in self.variables and str(self.variables[name]) == str(config["value"]))
         if kind == "NumericComparison":
-            return F.lit(self.compared(self.value(config["left"]), config["operator"], self.value(config["right"])))
+            left, right = self.value(config["left"]), self.value(config["right"])
+            if isinstance(left, Column) or isinstance(right, Column):
+                return self.compared_columns(left, config["operator"], right)
+            return F.lit(self.compared(left, config["operator"], right))
         if kind in ("And", "Or"):
             parts = [self.holds(x) for x in (config if isinstance(config, list) else config["conditions"])]
             return reduce(lambda a, b: a & b if kind == "And" else a | b, parts)
@@ -245,6 +277,23 @@ class Policy:
             raise PolicyError(f"operator {op} is not supported")
         return found[op]
 
+    @staticmethod
+    def compared_columns(left: object, op: str, right: object) -> Column:
+        """The same of columns; a value that is not there makes no comparison hold."""
+        text = [x if isinstance(x, Column) else F.lit(str(x)) for x in (left, right)]
+        a, b = (x.try_cast("double") for x in text)
+        near = F.abs(a - b) < 2.220446049250313e-16
+        found = {"Equal": near, "NotEqual": ~near, "GreaterThan": a > b, "LessThan": a < b, "GreaterThanOrEqual": a >= b, "LessThanOrEqual": a <= b, "Contains": F.contains(*text), "NotContains": ~F.contains(*text)}
+        if op not in found:
+            raise PolicyError(f"operator {op} is not supported")
+        return F.coalesce(found[op], F.lit(False))
+
+    @staticmethod
+    def object_of(text: str) -> tuple[Column, Column, Column]:
+        """Kind, datatype and language of an object given as text: an IRI has a scheme and no blank, a blank node begins with _:."""
+        kind = "bnode" if text.startswith("_:") else "iri" if re.fullmatch(r"[A-Za-z][A-Za-z0-9+.\-]*:[^\s<>\"{}|\\^`]+", text) else "literal"
+        return F.lit(kind), F.lit(""), F.lit("")
+
     def apply(self, quads: DataFrame) -> RuleResult:
         """One pass over the quads decides all rules; what a rule emits is gated by its flag."""
         rules = self.spec["rules"]
@@ -260,7 +309,7 @@ class Policy:
                 kind, config = a["type"], a.get("config", {})
                 if kind in ("AddTriple", "RemoveTriple"):
                     o = config["object"]
-                    row = on.select(F.lit(config["subject"]).alias("s"), F.lit(config["predicate"]).alias("p"), F.lit(o).alias("o"), F.lit("iri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
+                    row = on.select(F.lit(config["subject"]).alias("s"), F.lit(config["predicate"]).alias("p"), F.lit(str(o)).alias("o"), *(c.alias(n) for c, n in zip(self.object_of(str(o)), COLUMNS[3:], strict=True)))
                     out["add" if kind == "AddTriple" else "remove"].append(row)
                 elif kind == "SecurityAction":
                     out["actions"].append(self.security_action(on, r, severity, config))
@@ -315,10 +364,10 @@ def process(quads: DataFrame, registry: Registry, options: Options | None = None
     """RDFS closure, rules, validation. With materialize rules see what was inferred, and the result has the
     triples that rules add and not those they remove."""
     options = options or Options()
-    base = as_quads(quads)
+    base = saved(as_quads(quads), "graph")  # each part below reads it, so what it takes to make it is done once
     spark = quads.sparkSession
     inferred = entailed(base) if options.reasoning else spark.createDataFrame([], TRIPLE_DDL)
-    fresh = inferred.join(base.select(*COLUMNS), list(COLUMNS), "left_anti")
+    fresh = saved(inferred.join(base.select(*COLUMNS), list(COLUMNS), "left_anti"), "inferred")
     if registry.inferences:
         known = base.select(*COLUMNS).unionByName(fresh)
         fresh = fresh.unionByName(fixpoint(known, registry.inferences))

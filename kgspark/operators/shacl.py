@@ -23,6 +23,29 @@ from kgspark.terms import BOOLEAN, DATETIME, INTEGER, NUMERIC, RDF, SH, STRING,
 REPORT = "shape string, focus_node string, result_path string, value string, component string, message string, severity string"
 
 
+@dataclass(frozen=True)
+class Term:
+    """A value of sh:hasValue or sh:in. A plain text in its place stands for any term with that text."""
+
+    value: str
+    kind: str = "iri"
+    datatype: str = ""
+    language: str = ""
+
+    def __str__(self) -> str:
+        return self.value
+
+    def is_that(self) -> Column:
+        """Whether the value at hand is this term; a plain literal is one of xsd:string."""
+        plain = lambda d: F.when(d == STRING, F.lit("")).otherwise(F.coalesce(d, F.lit("")))
+        same = (F.col("v") == self.value) & (F.col("k") == self.kind)
+        return same & (plain(F.col("d")) == plain(F.lit(self.datatype))) & (F.coalesce("l", F.lit("")) == self.language.lower()) if self.kind == "literal" else same
+
+
+def is_one_of(values: list) -> Column:
+    return reduce(lambda a, b: a | b, (x.is_that() if isinstance(x, Term) else F.col("v") == x for x in values), F.lit(False))
+
+
 @dataclass
 class Constraint:
     component: str
@@ -47,9 +70,9 @@ class NodeShape:
     severity: str = "violation"
 
 
-#: Constraint predicates and the form of their value: text, a list, a number or a shape; fixed values of the vocabulary.
+#: Constraint predicates and the form of their value: text, a list, a number, a term, terms or a shape; fixed values of the vocabulary.
 PARAMETERS = {
-    "class": "text", "datatype": "text", "nodeKind": "text", "minCount": "number", "maxCount": "number", "minLength": "number", "maxLength": "number", "pattern": "text", "hasValue": "text", "in": "list",
+    "class": "text", "datatype": "text", "nodeKind": "text", "minCount": "number", "maxCount": "number", "minLength": "number", "maxLength": "number", "pattern": "text", "hasValue": "term", "in": "terms",
     "languageIn": "list", "uniqueLang": "text", "equals": "text", "disjoint": "text", "lessThan": "text", "lessThanOrEquals": "text", "minInclusive": "text", "maxInclusive": "text", "minExclusive": "text", "maxExclusive": "text",
     "node": "shape", "not": "shape", "and": "shapes", "or": "shapes", "xone": "shapes", "qualifiedValueShape": "shape",
 }
@@ -79,21 +102,27 @@ def path_text(path: S.Path) -> str:
 def load_shapes(quads: DataFrame, limit: int = 100_000) -> list[NodeShape]:
     """Node shapes, ordered by id, from quads that hold at most `limit` shape triples."""
     own = as_quads(quads).where(F.col("p").startswith(SH) | F.col("p").isin(RDF + "first", RDF + "rest") | ((F.col("p") == TYPE) & F.col("o").startswith(SH)))
-    rows = own.select("s", "p", "o", "o_kind").limit(limit + 1).collect()
+    rows = own.select("s", "p", "o", "o_kind", "o_dt", "o_lang").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"the shapes graph has more than {limit} triples")
     by: dict[str, dict[str, list[str]]] = {}
-    for r in sorted(rows):
-        by.setdefault(r["s"], {}).setdefault(r["p"].removeprefix(SH).removeprefix(RDF), []).append(r["o"])
+    terms: dict[tuple[str, str], list[Term]] = {}
+    for r in sorted(rows, key=lambda r: tuple(x or "" for x in r)):
+        key = r["p"].removeprefix(SH).removeprefix(RDF)
+        by.setdefault(r["s"], {}).setdefault(key, []).append(r["o"])
+        terms.setdefault((r["s"], key), []).append(Term(r["o"], r["o_kind"], r["o_dt"] or "", r["o_lang"] or ""))
 
-    def items(head: str) -> list[str]:
+    def listed(head: str) -> list[Term]:
         out, seen = [], set()
         while head in by and "first" in by[head] and head not in seen:
             seen.add(head)
-            out.append(by[head]["first"][0])
+            out.append(terms[head, "first"][0])
             head = by[head].get("rest", [""])[0]
         return out
 
+    def items(head: str) -> list[str]:
+        return [x.value for x in listed(head)]
+
     def read_path(node: str) -> S.Path:
         own = by.get(node, {})
         if "first" in own:
@@ -149,9 +178,13 @@ def load_shapes(quads: DataFrame, limit: int = 100_000) -> list[NodeShape]:
         if unknown := sorted(set(own) - set(PARAMETERS) - BESIDE - {"type", "first", "rest"}):
             raise ValueError(f"the shape {node} has sh:{unknown[0]}, which is not evaluated")
         for name, form in PARAMETERS.items():
-            for value in own.get(name, []):
+            for value, exact in zip(own.get(name, []), terms.get((node, name), []), strict=True):
                 if form == "list":
                     out.append(Constraint(name, items(value)))
+                elif form == "term":
+                    out.append(Constraint(name, exact))
+                elif form == "terms":
+                    out.append(Constraint(name, listed(value)))
                 elif form == "number":
                     out.append(Constraint(name, int(value)))
                 elif name == "pattern":
@@ -276,9 +309,9 @@ class Validator:
                 re.compile(c.value)
                 return values.where((k == "bnode") | ~v.rlike((f"(?{marks})" if marks else "") + c.value))
             case "hasValue":
-                return focus.join(values.where(v == c.value).select("focus"), "focus", "left_anti")
+                return focus.join(values.where(is_one_of([c.value])).select("focus"), "focus", "left_anti")
             case "in":
-                return values.where(~v.isin(list(c.value)))
+                return values.where(~is_one_of(c.value))
             case "languageIn":
                 fits = reduce(lambda a, b: a | b, ((F.col("l") == x.lower()) | F.startswith(F.col("l"), F.lit(x.lower() + "-")) for x in c.value), F.lit(False))
                 return values.where((k != "literal") | ~fits)

@@ -81,6 +81,6 @@ def security_preset(points: DataFrame, tie: str | None = None, whole: bool = Fal
     return ensemble([z_scores(points, 100, 3.0, tie, whole), quartile_ranges(points, 100, 1.5, tie, whole), trends(points, 0.1, 0.3, 50, tie, whole)], 0.6, key)
 
 
-def last_counts(points: DataFrame) -> DataFrame:
-    """label and its latest value."""
-    return points.groupBy("label").agg(F.max_by("value", "timestamp").alias("value"))
+def last_counts(points: DataFrame, tie: str | None = None) -> DataFrame:
+    """label and its latest value, by timestamp and tie."""
+    return points.groupBy("label").agg(F.max_by("value", F.struct("timestamp", *([tie] if tie else []))).alias("value"))

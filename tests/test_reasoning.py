@@ -120,6 +120,24 @@ def test_clashes(spark):
     assert kinds([]) == set()
 
 
+def test_only_fillers_that_all_differ_break_a_maximum(spark):
+    a, p, x = e("A", "p", "x")
+    ys = [f"{EX}y{i}" for i in range(5)]
+    ring = [(ys[i], OWL + "differentFrom", ys[(i + 1) % 5]) for i in range(5)]
+
+    def clash(most, *more):
+        rows = [(a, OWL + "onProperty", p), (a, OWL + "maxCardinality", (str(most), INTEGER)), (x, TYPE, a), *((x, p, y) for y in ys), *more]
+        return {r["kind"] for r in owl.Ontology(quads_of(spark, rows)).clashes().collect()} == {"max_cardinality"}
+
+    assert not clash(2, *ring) and clash(1, *ring)
+    assert clash(2, *ring, (ys[0], OWL + "differentFrom", ys[2]))
+    other = EX + "z"  # the same as y2
+    assert clash(2, *ring, (ys[0], OWL + "differentFrom", other), (other, OWL + "sameAs", ys[2]))
+    every = [(u, OWL + "differentFrom", v) for i, u in enumerate(ys) for v in ys[:i]]
+    assert clash(4, *every) and not clash(5, *every) and not clash(4, *every[1:])
+    assert clash(0)
+
+
 def test_property_characteristics(spark):
     near, part, one, x, y, z = e("near", "partOf", "one", "x", "y", "z")
     o = owl.Ontology(quads_of(spark, [(near, TYPE, OWL + "SymmetricProperty"), (part, TYPE, OWL + "TransitiveProperty"), (one, TYPE, OWL + "FunctionalProperty"), (near, TYPE, OWL + "AsymmetricProperty"), (x, near, y), (y, near, x), (x, part, y), (y, part, z), (x, one, y), (x, one, z)]))
@@ -230,3 +248,19 @@ def test_shapes_that_are_not_evaluated_raise(spark):
             shapes_of(spark, *rows)
     own = shapes_of(spark, ("_:s", "path", EX + "digit"), ("_:s", "minCount", ("1", INTEGER)))
     assert [c.component for c in own[0].properties[0].constraints] == ["minCount"] and not own[0].constraints
+
+
+def test_values_of_shapes_are_terms(spark):
+    shape = [("_:s", TYPE, SH + "NodeShape"), ("_:s", SH + "targetSubjectsOf", EX + "has"), ("_:s", SH + "property", "_:p"), ("_:p", SH + "path", EX + "has")]
+    data = quads_of(spark, [(EX + "iri", EX + "has", "http://z/1"), (EX + "text", EX + "has", ("http://z/1",)), (EX + "number", EX + "has", ("1", INTEGER)), (EX + "word", EX + "has", ("1",)), (EX + "said", EX + "has", ("1", "", "en"))])
+
+    def broken(*rows):
+        found = shacl.validate(data, shacl.load_shapes(quads_of(spark, [*shape, *rows])))
+        return {r["focus_node"].replace(EX, "") for r in found.collect()}
+
+    every = {"iri", "text", "number", "word", "said"}
+    assert broken(("_:p", SH + "hasValue", "http://z/1")) == every - {"iri"}
+    assert broken(("_:p", SH + "hasValue", ("http://z/1",))) == every - {"text"}
+    assert broken(("_:p", SH + "hasValue", ("1", INTEGER))) == every - {"number"}
+    listed = [("_:p", SH + "in", "_:l"), ("_:l", RDF + "first", "http://z/1"), ("_:l", RDF + "rest", "_:m"), ("_:m", RDF + "first", ("1",)), ("_:m", RDF + "rest", RDF + "nil")]
+    assert broken(*listed) == {"text", "number", "said"}
