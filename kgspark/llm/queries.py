@@ -71,6 +71,30 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op8_licenses, which SQL can express."""
+    return op8_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def media_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_media that SQL can express."""
+    return op7_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+LICENSES_SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+ph(words, label) AS (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')),
+hits AS (SELECT k, p, words, label FROM (SELECT k, ws, unnest(generate_series(1, len(ws))) AS p FROM w), ph WHERE ws[p] = words[1] AND ws[p:p + len(words) - 1] = words),
+n AS (SELECT k, count(*) AS n, min(p) - 1 AS a, max(p) - 1 AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hits GROUP BY k)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN n USING (k)
+"""
+
+MEDIA_SQL = r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents),
+s AS (SELECT doc_id, body, octet_length(body) AS n, greatest(64, CAST(ceil(octet_length(body) / 64) AS BIGINT) * 64) AS m FROM b)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(body || repeat('\x00'::BLOB, m - n)) AS payload_sha256 FROM s
+"""
+
 OP4_SQL = r"""
 WITH t AS (SELECT conv_id AS pair_id, turn, coalesce(role, 'user') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 l AS (SELECT pair_id, max(turn) AS lt, arg_max(text, turn) AS own FROM t WHERE role = 'assistant' GROUP BY pair_id),
@@ -127,8 +151,9 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.leas
 
 
 def queries() -> dict[str, Query]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    more = {"licenses_base": licenses_base, "media_base": media_base}
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)} | more
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op6_substrings": OP6_SQL, "op9_neardup": OP9_SQL}
+    return {"op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op6_substrings": OP6_SQL, "op9_neardup": OP9_SQL, "licenses_base": LICENSES_SQL, "media_base": MEDIA_SQL}
