@@ -26,6 +26,16 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str = "security-event
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("includeHeaders", "true").options(**options).load()
 
 
+def to_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str, key: str | None = None, seconds: int | None = None, retries: int = 3, **options: str) -> StreamingQuery:
+    """Send each row as JSON to a topic. The producer repeats what fails, `retries` times, in order; what still fails
+    stops the query, which goes on from its checkpoint at the next start: a row may come twice and is never lost."""
+    value = F.to_json(F.struct(*(f"`{c}`" for c in df.columns))).alias("value")
+    rows = df.select(*([F.col(f"`{key}`").cast("string").alias("key")] if key else []), value)
+    out = rows.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint)
+    out = out.option("kafka.retries", retries).option("kafka.enable.idempotence", "true").option("kafka.acks", "all").options(**options)
+    return (out.trigger(processingTime=f"{seconds} seconds") if seconds else out.trigger(availableNow=True)).start()
+
+
 def envelopes(df: DataFrame, kind: str, source: str, **fields) -> DataFrame:
     """Typed stream events: event_kind, timestamp, source and the given columns."""
     return df.select(F.lit(kind).alias("event_kind"), F.col("ts").cast("timestamp").alias("timestamp"), F.lit(source).alias("source"), *(c.alias(n) for n, c in fields.items()))

@@ -242,3 +242,41 @@ def test_action_rules_join_their_conditions(spark):
     got = {r["action_type"]: r for r in rules.privilege_escalation_rule().apply(q).actions.collect()}
     assert set(got) == {"isolate_host", "revoke_privileges", "alert"} and got["revoke_privileges"]["user"] == "u" and got["isolate_host"]["host_ip"] is None
     assert len(rules.process_each(q, [rules.Registry().register(rules.lateral_movement_rule()), rules.Registry()])) == 2
+
+
+def test_turtle(spark, tmp_path):
+    from kgspark.sources import turtle
+
+    one = """@prefix ex: <http://example.org/> . # a comment
+PREFIX : <http://other/>
+@base <http://base/dir/> .
+ex:a a ex:T ; ex:p "x\\ty"@EN-gb, 'it', 5, -1.5, 2e3, true ;
+  ex:q [ ex:r :z ; ] ; ex:l ( 1 "two" ex:three ) ; ex:none () ; .
+<rel#x> ex:long \"\"\"two
+"quoted" lines\"\"\" ; ex:date "2024-01-01"^^<http://www.w3.org/2001/XMLSchema#date>, "7"^^ex:kind .
+_:n ex:p _:m . _:n ex:p ex:b.c , ex:a\\,b .
+[ ex:alone "yes" ] .
+[] ex:p ex:end."""
+    (tmp_path / "a.ttl").write_text(one)
+    (tmp_path / "b.ttl").write_text("_:n <http://example.org/p> <http://example.org/c> .")
+    (tmp_path / "c.ttl").write_text("")
+    got = turtle.read_turtle(spark, f"{tmp_path}/*.ttl").select("s", "p", "o", "o_kind", "o_dt", "o_lang").collect()
+    said = {(r["s"], r["p"].replace(EX, ""), r["o"]) for r in got}
+    a = EX + "a"
+    assert {(a, TYPE, EX + "T"), (a, "p", "x\ty"), (a, "p", "it"), (a, "p", "5"), (a, "p", "-1.5"), (a, "p", "2e3"), (a, "p", "true")} <= said
+    kinds = {r["o"]: (r["o_kind"], r["o_dt"].split("#")[-1], r["o_lang"]) for r in got}
+    assert kinds["x\ty"] == ("literal", "langString", "en-gb") and kinds["5"][1] == "integer" and kinds["-1.5"][1] == "decimal" and kinds["2e3"][1] == "double" and kinds["true"][1] == "boolean"
+    assert ("http://base/dir/rel#x", "long", 'two\n"quoted" lines') in said and kinds["2024-01-01"][1] == "date" and kinds["7"][1] == EX + "kind"
+    (inner,) = [o for s, p, o in said if p == "q"]
+    assert inner.startswith("_:") and (inner, "r", "http://other/z") in said
+    (cell,) = [o for s, p, o in said if p == "l"]
+    rest = {s: o for s, p, o in said if p.endswith("#rest")}
+    first = {s: o for s, p, o in said if p.endswith("#first")}
+    assert [first[cell], first[rest[cell]], first[rest[rest[cell]]]] == ["1", "two", EX + "three"] and rest[rest[rest[cell]]].endswith("#nil")
+    assert [o for _, p, o in said if p == "none"][0].endswith("#nil") and {EX + "b.c", EX + "a,b"} <= {o for _, p, o in said if p == "p"}
+    nodes = {s for s, p, o in said if s.endswith("n") and s.startswith("_:") and p == "p"}
+    assert len(nodes) == 2, "blank nodes of two documents stay apart"
+    assert any(p == "alone" and s.startswith("_:") for s, p, _ in said) and any(o == EX + "end" for *_, o in said)
+    for bad in ("ex:a ex:b ex:c .", "<a> <b> .", "<a> <b> <c>", '"x" <b> <c> .', "<a> <b> \x00 .", "<a> _:b <c> ."):
+        with pytest.raises(turtle.TurtleError):
+            list(turtle.Document(bad).triples())
