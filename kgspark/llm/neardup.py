@@ -260,8 +260,8 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, lead_turns: int,
         pairs = F.flatten(F.transform("of", lambda x: F.transform(F.filter("of", lambda y: (x["node"] < y["node"]) & feasible(lambda c: x[c], lambda c: y[c], "u")), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
         labels = linked_more(meet.select(F.explode(pairs).alias("pair")).select("pair.*"))
 
-    least = labels.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
-    least = small(saved(labels.join(least, "component").select("node", "least"), "least"))
+    least = saved(labels.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    least = small(saved(labels.join(small(least), "component").select("node", "least"), "least"))
     found = classes.select("node", "key1", "key2", "doc_id").join(least, "node", "left").select("key1", "key2", F.coalesce("least", "doc_id").alias("least"))
     out = sketches.join(found, ["key1", "key2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("least", "doc_id"))
