@@ -1,7 +1,9 @@
 """Byte-level BPE: encoding with a priority queue of merge ranks, decoding by joining vocabulary strings.
 
 Null text is empty text. An empty text has no ids and decodes to the empty text. Tables without rows
-give results without rows; repeated rows are encoded one by one; other columns are ignored.
+give results without rows; repeated rows are encoded one by one; other columns are ignored. A very long
+text is encoded whole, by the row. Of equal ranks the leftmost pair is merged first. A file whose rules
+before the merges are not those of a plain byte-level BPE is refused.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ tier first fills whole windows of it. Each tier is packed best fit, largest docu
 of a window are filled from shorter tiers, and what no whole document fits is closed with the head of
 the longest document that is left, whose rest goes back to its tier. The last sequence of a block,
 for which nothing is left, is cut into full windows of powers of two. So every sequence is a full
-power-of-two window, and nothing is padded. Windows are dealt to step groups of about equal tokens.
+power-of-two window, and nothing is padded; those of the end of a block may be shorter than the shortest
+tier. Windows are dealt to step groups of about equal tokens, block by block. Of pieces of equal length the
+one put back last, or with the earlier row, comes first. Very long texts give many windows.
 
 Packing works in blocks of consecutive documents of a partition, without a shuffle: a task holds the
 ids of one block. Sequence numbers carry the partition, the block and a counter.

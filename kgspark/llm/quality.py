@@ -2,7 +2,8 @@
 
 Words are runs of characters other than blank, tab, line feed, vertical tab, form feed and carriage
 return. Null and empty texts have no words and fail the base rule. Repeated rows are judged one by
-one, tables without rows give no rows, and other columns are ignored (or kept, with `filtered`).
+one, tables without rows give no rows, and other columns are ignored (or kept, with `filtered`). A very long
+text is judged whole, in the memory of its row: one long for each window. Bounds include their ends.
 
 The 5-word windows of a text are found by hash and position packed into one long, sorted; the windows
 whose hashes meet are compared word for word, so hash collisions never count.

@@ -166,3 +166,19 @@ def test_stages_match_brute_force(spark):
 def test_run_on_tables(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "start", "length", "sequence_id", "offset", "ids"} <= set(out.columns) and out.count() > 0
+
+
+def test_pipeline_over_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "sequence_id", "ids"} <= set(out.columns)
+
+
+def test_chat_with_clashing_columns(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "no")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "'x' as chosen", "1 as pair_id", "'p' as prompt", "'r' as `a.b`", "2 as first")
+    plain = chat.preferences(*chat.branched(df.select("conv_id", "turn", "role", "text")), one_sided=True)
+    own = chat.preferences(*chat.branched(df), one_sided=True)
+    assert own.columns == plain.columns and sorted(map(repr, own.collect())) == sorted(map(repr, plain.collect()))

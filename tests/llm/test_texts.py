@@ -456,3 +456,26 @@ def test_language_matches_brute_force(spark):
         assert got[d]["lang_pred"] in {model.languages[i] for i, c in enumerate(cosines) if c > cosines[best] - 1e-5}
         if abs(cosines[best] - model.bounds[best]) > 1e-4:
             assert got[d]["rejected"] == (cosines[best] < model.bounds[best])
+
+
+def test_quality_of_a_megabyte(spark):
+    from collections import Counter
+
+    rng = random.Random(51)
+    t = words(rng, 150_000, 10_000) + "\n" + "a line again\n" * 3 + "one two three four five " * 2
+    w = text_words(t)
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    often = Counter(windows)
+    covered = {i + k for i, x in enumerate(windows) if often[x] > 1 for k in range(5)}
+    (r,) = quality.score(frame(spark, [(1, t)])).collect()
+    assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), len(covered), 2)
+
+
+def test_near_duplicates_of_a_megabyte(spark):
+    rng = random.Random(52)
+    t = words(rng, 120_000, 10_000)
+    rows = [(3, t), (1, t.upper() + " end"), (2, words(rng, 120_000, 10_000)), (4, t)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    w = t.split()
+    n = len({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    assert got[3] == got[4] == (n, 1) and got[1][1] == 1 and got[2][1] == 2
