@@ -1,32 +1,57 @@
 """Rolling anomaly detectors over points (label, timestamp, value): z-score, quartile range, trend, ensemble.
 
 Each gives score, threshold, is_anomaly and method beside its points. A series is one label, ordered by
-timestamp and tie; whole=True takes all points as one series, which then meets in one task.
+timestamp and tie; whole=True takes all points as one series. A series of more than BLOCK points is cut into
+blocks of that many, each with the points before it that its first windows look back to, so no task holds
+more; points of one timestamp have a fixed order only with a tie.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.checkpoints import saved
+
 WARM_UP = 10
+#: Points of a series that one task takes at once.
+BLOCK = 200_000
 
 
-def series(tie: str | None, whole: bool):
-    keys = [] if whole else ["label"]
-    order = ["timestamp", *([tie] if tie else [])]
-    return Window.partitionBy(*keys).orderBy(*order), keys, order
+def series(points: DataFrame, tie: str | None, whole: bool, back: int) -> tuple[DataFrame, list[str], list[str]]:
+    """The points with a column _own, what a group of them is told by, and their order in it.
+
+    Where a series is too long for one group, its points are sorted over all tasks and numbered, and the last
+    `back` points of each block stand in the next one, too; there _own is false.
+    """
+    keys, order = [] if whole else ["label"], ["timestamp", *([tie] if tie else [])]
+    longest = points.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if longest <= BLOCK or back >= BLOCK:
+        return points.withColumn("_own", F.lit(True)), keys, order
+    own = [*keys, *order]
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = saved(points.repartitionByRange(*own).sortWithinPartitions(*own).select("*", F.spark_partition_id().alias("_part"), number.alias("_at")), "series")
+    starts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")
+    starts = starts.select(*keys, "_part", (before - F.col("_first")).alias("_shift"))
+    placed = rows.join(starts, [*keys, "_part"]).withColumn("_place", F.col("_at") + F.col("_shift"))
+    block = F.floor(F.col("_place") / BLOCK)
+    both = F.when(F.col("_place") % BLOCK >= BLOCK - back, F.array(block, block + 1)).otherwise(F.array(block))
+    return placed.withColumn("_block", F.explode(both)).withColumn("_own", F.col("_block") == block), [*keys, "_block"], ["_place"]
 
 
 def z_scores(points: DataFrame, window: int = 100, z: float = 3.0, tie: str | None = None, whole: bool = False) -> DataFrame:
     """|x - mean| / deviation over the last `window` points, this one included; none before the tenth point
     of a window or without deviation, so a window under ten gives nothing."""
-    w = series(tie, whole)[0].rowsBetween(-(window - 1), 0)
+    own, keys, order = series(points, tie, whole, window - 1)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(window - 1), 0)
     x = F.col("value")
-    stats = points.select("*", F.avg(x).over(w).alias("_mean"), F.stddev_pop(x).over(w).alias("_dev"), F.count(x).over(w).alias("_n")).where((F.col("_n") >= WARM_UP) & (F.col("_dev") > 0))
+    stats = own.select("*", F.avg(x).over(w).alias("_mean"), F.stddev_pop(x).over(w).alias("_dev"), F.count(x).over(w).alias("_count")).where(F.col("_own") & (F.col("_count") >= WARM_UP) & (F.col("_dev") > 0))
     score = F.abs(x - F.col("_mean")) / F.col("_dev")
     return stats.select(*points.columns, score.alias("score"), (F.col("_mean") + z * F.col("_dev")).alias("threshold"), (score > z).alias("is_anomaly"), F.lit("z_score").alias("method"))
 
@@ -36,10 +61,11 @@ def quartile_ranges(points: DataFrame, window: int = 100, multiplier: float = 1.
 
     The score is the distance from the middle in ranges; with a range of zero it is null, or infinite off the middle.
     """
-    w = series(tie, whole)[0].rowsBetween(-(window - 1), 0)
+    own, keys, order = series(points, tie, whole, window - 1)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(window - 1), 0)
     x, n = F.col("value"), F.size("_sorted")
     at = lambda q: F.element_at("_sorted", (F.floor(n * q) + 1).cast("int"))
-    rows = points.withColumn("_sorted", F.sort_array(F.collect_list(x).over(w))).where(n >= WARM_UP)
+    rows = own.withColumn("_sorted", F.sort_array(F.collect_list(x).over(w))).where(F.col("_own") & (n >= WARM_UP))
     rows = rows.select(*points.columns, at(0.25).alias("_q1"), at(0.75).alias("_q3"))
     iqr = F.col("_q3") - F.col("_q1")
     low, high = F.col("_q1") - multiplier * iqr, F.col("_q3") + multiplier * iqr
@@ -51,9 +77,11 @@ def quartile_ranges(points: DataFrame, window: int = 100, multiplier: float = 1.
 def trends(points: DataFrame, alpha: float = 0.1, limit: float = 0.3, window: int = 50, tie: str | None = None, whole: bool = False) -> DataFrame:
     """|mean of the last `window` points - exponential mean| / max(|exponential mean|, 1), from the first point on.
 
-    The exponential mean is a recursion over a series, so each series runs through one pandas group in order.
+    The exponential mean forgets: what is older than about 42 / alpha points is under the last bit of a double.
+    A block looks back that far and begins there; where that is longer than a block, a series is one group.
     """
-    _, keys, order = series(tie, whole)
+    back = max(window - 1, math.ceil(-60 * math.log(2) / math.log1p(-alpha)) if alpha < 1 else 0)
+    own, keys, order = series(points, tie, whole, back)
     names = points.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -61,10 +89,10 @@ def trends(points: DataFrame, alpha: float = 0.1, limit: float = 0.3, window: in
         ema = pdf["value"].ewm(alpha=alpha, adjust=False).mean()
         recent = pdf["value"].rolling(window, min_periods=1).mean()
         score = (recent - ema).abs() / ema.abs().clip(lower=1.0)
-        return pdf[names].assign(score=score, threshold=limit, is_anomaly=score > limit, method="trend")
+        return pdf[names].assign(score=score, threshold=limit, is_anomaly=score > limit, method="trend")[pdf["_own"]]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
-    return points.groupBy(*keys).applyInPandas(run, f"{fields}, score double, threshold double, is_anomaly boolean, method string")
+    return own.groupBy(*keys).applyInPandas(run, f"{fields}, score double, threshold double, is_anomaly boolean, method string")
 
 
 def ensemble(results: list[DataFrame], share: float = 0.6, key: tuple[str, ...] = ("label", "timestamp")) -> DataFrame:

@@ -280,3 +280,19 @@ _:n ex:p _:m . _:n ex:p ex:b.c , ex:a\\,b .
     for bad in ("ex:a ex:b ex:c .", "<a> <b> .", "<a> <b> <c>", '"x" <b> <c> .', "<a> <b> \x00 .", "<a> _:b <c> ."):
         with pytest.raises(turtle.TurtleError):
             list(turtle.Document(bad).triples())
+
+
+def test_long_series_are_cut_into_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(61)
+    rows = [(rng.choice(["a", "a", "a", "b"]), i // 3, i, rng.gauss(0, 1) + (40 if i % 97 == 0 else 0)) for i in range(1500)] + [("c", 1, 1, 5.0)]
+    df = spark.createDataFrame(rows, "label string, timestamp long, tie long, value double").repartition(5)
+
+    def found(whole):
+        out = [timeseries.z_scores(df, 20, 2.0, "tie", whole), timeseries.quartile_ranges(df, 20, 1.5, "tie", whole), timeseries.trends(df, 0.5, 0.3, 10, "tie", whole)]
+        return [sorted((r["tie"], r["label"], round(r["score"], 9), round(r["threshold"], 9), r["is_anomaly"]) for r in x.collect()) for x in out]
+
+    plain = [found(False), found(True)]
+    monkeypatch.setattr(timeseries, "BLOCK", 90)
+    assert [found(False), found(True)] == plain and len(plain[0][2]) == len(rows)
