@@ -57,6 +57,10 @@ def parts(name: str, x: Value) -> list[Column]:
     return [c.alias(column_of(name) + p) for c, p in zip((x.v, x.k, x.d, x.l, x.n), PARTS, strict=True)]
 
 
+#: Variables that may be unbound on both sides of a join up to which their combinations are joined one by one.
+SPLIT = 3
+
+
 class Compiler:
     def __init__(self, graph: Graph, scope: tuple[str, object] = ("all", None), named: list[str] | None = None) -> None:
         self.graph, self.scope, self.named, self.fresh = graph, scope, named, 0
@@ -278,10 +282,32 @@ class Compiler:
         return out
 
     def join(self, left: Rel, right: Rel) -> Rel:
-        on, _ = self.compatible(left, right)
         other = right.renamed("r:") if right.names else right.df.select(F.lit(True).alias("r:unit"))
+        shared = sorted(left.names & right.names)
+        if shared and len(shared) <= SPLIT and not any(n in left.certain and n in right.certain for n in shared):
+            return self.merged(self.split_join(left, right, other, shared), left, right)
+        on, _ = self.compatible(left, right)
         return self.merged(left.df.crossJoin(other) if on is None else left.df.join(other, on), left, right)
 
+    def split_join(self, left: Rel, right: Rel, other: DataFrame, shared: list[str]) -> DataFrame:
+        """A join on variables that may all be unbound: the rows of each side are told apart by which of them
+        are bound, and each pair of kinds is joined on those bound in both. Kinds that share none meet in full,
+        as the standard has it."""
+
+        def kinds(rel: Rel, prefix: str, df: DataFrame) -> list[tuple[frozenset[str], DataFrame]]:
+            out = [(frozenset(), df)]
+            for n in shared:
+                bound = rel.value(n, prefix).v.isNotNull()
+                out = [(k | {n} if yes else k, d if n in rel.certain else d.where(bound if yes else ~bound)) for k, d in out for yes in ((True,) if n in rel.certain else (True, False))]
+            return out
+
+        found = []
+        for a, mine in kinds(left, "", left.df):
+            for b, theirs in kinds(right, "r:", other):
+                on = [c for n in sorted(a & b) for c in self.keys(left, right, n)]
+                found.append(mine.join(theirs, reduce(lambda x, y: x & y, on)) if on else mine.crossJoin(theirs))
+        return reduce(DataFrame.unionAll, found)
+
     def left_join(self, left: Rel, group: S.Group) -> Rel:
         filters = [e.condition for e in group.elements if isinstance(e, S.Filter)]
         right = self.group(S.Group([e for e in group.elements if not isinstance(e, S.Filter)]))

@@ -48,13 +48,16 @@ def object_is(o: Constant) -> Column:
 
 
 class QuadGraph(Graph):
-    """A table of quads."""
+    """A table of quads. With a column o_num (as stored quads have it) numbers are read and filtered as such, else worked out from the text."""
 
     def __init__(self, quads: DataFrame, predicate_counts: dict[str, int] | None = None) -> None:
-        self.quads, self.spark, self.counts = as_quads(quads), quads.sparkSession, predicate_counts or {}
+        own = as_quads(quads)
+        number = F.col("o_num") if "o_num" in quads.columns else number_of(F.col("o"), F.col("o_kind"), F.col("o_dt")).alias("o_num")
+        self.quads = (quads if "o_num" in quads.columns else own).select(*TERM_COLUMNS, number)
+        self.spark, self.counts = quads.sparkSession, predicate_counts or {}
 
     def scan(self, s: Constant = None, p: Constant = None, o: Constant = None) -> DataFrame:
-        out = self.quads.select(*TERM_COLUMNS, number_of(F.col("o"), F.col("o_kind"), F.col("o_dt")).alias("o_num"))
+        out = self.quads
         for name, term in (("s", s), ("p", p)):
             if isinstance(term, Literal):
                 return out.limit(0)

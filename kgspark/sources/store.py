@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgspark.checkpoints import delete
-from kgspark.terms import PROV, QUAD_DDL, as_quads
+from kgspark.sources.mapping import QuadGraph
+from kgspark.terms import PROV, QUAD_DDL, as_quads, number_of
 
 BUCKETS = 16
 AUDIT_DDL = "id string, timestamp bigint, operation string, triple string, graph string, triple_count bigint, rule string, triples_added bigint, triples_removed bigint, query_type string, result_count bigint, actor string, metadata map<string,string>"
@@ -63,17 +64,21 @@ class QuadStore:
         return max((int(n.removeprefix("quads-")) for n in whole), default=0)
 
     def _quads(self) -> DataFrame:
-        return self._read(f"quads-{self._generation()}", QUAD_DDL + ", p_bucket int")
+        return self._read(f"quads-{self._generation()}", QUAD_DDL + ", o_num double, p_bucket int")
 
     def quads(self) -> DataFrame:
-        return self._quads().drop("p_bucket")
+        return self._quads().drop("p_bucket", "o_num")
+
+    def as_graph(self) -> QuadGraph:
+        """The stored quads to query; numbers are stored, so comparisons with them reach the files."""
+        return QuadGraph(self._quads())
 
     def append(self, triples: DataFrame, graph_kind: str = "default", graph_name: str | None = None, prov=None, actor: str | None = None) -> None:
         """Insert all rows with one graph and provenance."""
         rows = as_quads(triples).withColumns({"graph_kind": F.lit(graph_kind), "graph_name": F.lit(graph_name).cast("string"), "asserted_at": F.current_timestamp()})
         if prov is not None:
             rows = rows.withColumn("prov", prov)
-        own = rows.withColumn("p_bucket", F.pmod(F.hash("p"), F.lit(BUCKETS)))
+        own = rows.withColumn("o_num", number_of(F.col("o"), F.col("o_kind"), F.col("o_dt"))).withColumn("p_bucket", F.pmod(F.hash("p"), F.lit(BUCKETS)))
         own.write.mode("append").partitionBy("graph_kind", "p_bucket").parquet(f"{self.path}/quads-{self._generation()}")
         self.log("insert", graph=self.graph_label(graph_kind, graph_name), actor=actor)
 
@@ -94,7 +99,7 @@ class QuadStore:
         for name, value in (("s", s), ("p", p), ("o", o)):
             if value is not None:
                 out = out.where(F.col(name) == value)
-        return out.drop("p_bucket")
+        return out.drop("p_bucket", "o_num")
 
     def graph(self, kind: str, name: str | None = None) -> DataFrame:
         return self.quads().where((F.col("graph_kind") == kind) & F.col("graph_name").eqNullSafe(F.lit(name)))
@@ -104,7 +109,7 @@ class QuadStore:
 
     def clear(self, kind: str | None = None, name: str | None = None) -> None:
         """Remove one graph, or all. What stays is written anew beside the old folder, which then goes."""
-        keep = self.quads().where(F.lit(False)) if kind is None else self.quads().where(~((F.col("graph_kind") == kind) & F.col("graph_name").eqNullSafe(F.lit(name))))
+        keep = self._quads().where(F.lit(False)) if kind is None else self._quads().where(~((F.col("graph_kind") == kind) & F.col("graph_name").eqNullSafe(F.lit(name))))
         now = self._generation()
         keep.withColumn("p_bucket", F.pmod(F.hash("p"), F.lit(BUCKETS))).write.mode("overwrite").partitionBy("graph_kind", "p_bucket").parquet(f"{self.path}/quads-{now + 1}")
         delete(self.spark, f"{self.path}/quads-{now}")
