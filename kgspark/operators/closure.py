@@ -21,12 +21,12 @@ def transitive_closure(edges: DataFrame, rounds: int = 40, two_hop: bool = False
     known = saved(edges.select("a", "b").where("a is not null and b is not null").distinct(), "closure")
     fresh = known
     for _ in range(rounds):
-        right = known.select(F.col("a").alias("via"), F.col("b").alias("to"))
+        right = small(known).select(F.col("a").alias("via"), F.col("b").alias("to"))
         longer = fresh.join(right, fresh["b"] == right["via"]).select("a", F.col("to").alias("b")).distinct()
-        before, fresh = fresh, saved(longer.join(known, ["a", "b"], "left_anti"), "closure-new")
+        before, fresh = fresh, saved(longer.join(small(known), ["a", "b"], "left_anti"), "closure-new")
         if before is not known:
             discard(before)
-        if fresh.isEmpty():
+        if not counted(fresh):
             discard(fresh)
             return known
         smaller, known = known, saved(known.unionByName(fresh), "closure")
@@ -43,11 +43,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataF
     front = seeds.select("a", F.col("a").alias("b")).distinct()
     known: DataFrame | None = None
     for _ in range(rounds):
-        met = front.join(step, front["b"] == step["via"]).select("a", F.col("to").alias("b")).distinct()
+        met = front.join(small(step), front["b"] == F.col("via")).select("a", F.col("to").alias("b")).distinct()
         before, front = front, saved(met if known is None else met.join(known, ["a", "b"], "left_anti"), "front")
         if before is not known:
             discard(before)
-        if front.isEmpty():
+        if not counted(front):
             discard(step)
             return front if known is None else known
         smaller, known = known, front if known is None else saved(known.unionByName(front), "reached")
