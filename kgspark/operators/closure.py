@@ -56,30 +56,41 @@ def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataF
     raise FixpointError(f"not all reached in {rounds} rounds")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component): the smallest node of each connected component, for links (a, b).
 
-    Each round takes the smallest label among a node's neighbours, then the label of that label, so paths
-    shrink by halves. Labels of few rows are broadcast, more are joined by a shuffle. A link with a null
-    end counts for nothing; no links give no rows.
+    Each round every node goes to the one of itself and its neighbours with the smallest hash, and the links
+    between the places gone to are the next, smaller graph. Hashes differ from round to round, so however nodes
+    are named and arranged two thirds at most are expected to be left: a chain of n takes about log2(n) rounds.
+    Then the last places are handed back round by round. Tables of few rows are broadcast, more are joined by a
+    shuffle. A link with a null end counts for nothing, one from a node to itself makes the node known; no links
+    give no rows.
     """
-    both = links.select("a", "b").union(links.select("b", "a")).where("a is not null and b is not null").distinct()
-    edges = saved(both, "links")
-    labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
-    for _ in range(rounds):
-        if not counted(labels):
-            return labels
-        near = edges.join(small(labels).select(F.col("node").alias("b"), F.col("component").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        lower = near.join(small(labels), "node").select("node", "component", F.least("component", "near").alias("lower"))
-        moved = lower.join(small(labels).select(F.col("node").alias("lower"), F.col("component").alias("jump")), "lower").select("node", F.least("lower", "jump").alias("component"), (F.least("lower", "jump") < F.col("component")).alias("moved"))
-        before, table = labels, saved(moved, "labels", moved=F.count_if("moved"))
-        labels = table.select("node", "component")
-        labels._saved_at, labels._seen = table._saved_at, table._seen
+    ends = links.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = saved(ends.distinct(), "links")
+    steps: list[DataFrame] = []
+    while counted(edges):
+        if len(steps) == rounds:
+            raise FixpointError(f"components did not settle in {rounds} rounds")
+        ranked = lambda c, k=len(steps): F.struct(F.xxhash64(F.lit(k), c), F.col(c).alias("at"))
+        both = edges.union(edges.select("b", "a"))
+        step = saved(both.groupBy("a").agg(F.min(ranked("b")).alias("first")).select(F.col("a").alias("node"), F.least("first", ranked("a"))["at"].alias("root")), "steps")
+        to = lambda x, step=step: small(step).select(F.col("node").alias(x), F.col("root").alias(f"to_{x}"))
+        moved = edges.where("a <> b").join(to("a"), "a").join(to("b"), "b").where("to_a <> to_b")
+        before, edges = edges, saved(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "links")
         discard(before)
-        if not counted(table, "moved"):
-            discard(edges)
-            return labels
-    raise FixpointError(f"components did not settle in {rounds} rounds")
+        steps.append(step)
+    if not steps:
+        return saved(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), "labels")
+    roots = steps[-1]
+    written = [edges, *steps]
+    for step in reversed(steps[:-1]):
+        roots = saved(step.join(small(roots).select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("node", F.coalesce("last", "root").alias("root")), "roots")
+        written.append(roots)
+    least = saved(roots.groupBy("root").agg(F.min("node").alias("component")), "least")
+    labels = saved(roots.join(small(least), "root").select("node", "component"), "labels")
+    discard(*written, least)
+    return labels
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -43,6 +43,17 @@ def test_closure_bounds(spark):
     assert set(got.values()) == {0, 21} and got[20] == 0 and got[40] == 21
 
 
+def test_components_of_long_chains(spark):
+    """Names in the order of text, so a chain has a local minimum every few nodes; a star, loops and null ends beside it."""
+    chains = spark.range(3, 1500).selectExpr("concat('urn:n:', id) AS a", "concat('urn:n:', id - 3) AS b")
+    more = spark.createDataFrame([*(("hub", f"leaf{i}") for i in range(300)), ("own", "own"), ("x", None), (None, "y")], "a string, b string")
+    got = {r["node"]: r["component"] for r in components(chains.union(more)).collect()}
+    least = [min(f"urn:n:{i}" for i in range(k, 1500, 3)) for k in range(3)]
+    assert got == {f"urn:n:{i}": least[i % 3] for i in range(1500)} | {f"leaf{i}": "hub" for i in range(300)} | {"hub": "hub", "own": "own"}
+    with pytest.raises(FixpointError):
+        components(chains, rounds=2)
+
+
 def test_rdfs(spark):
     dog, mammal, animal, thing, life, rex = e("Dog", "Mammal", "Animal", "Thing", "Life", "rex")
     reads, consumes, person, reader, book, work, john, hobbit = e("reads", "consumes", "Person", "Reader", "Book", "Work", "john", "hobbit")
