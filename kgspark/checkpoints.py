@@ -78,8 +78,12 @@ def counted(table: DataFrame, measure: str = "rows") -> int:
 
 
 def small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """The saved table, for one side of a join: broadcast if its rows are few enough, which are counted, else as it is."""
-    return F.broadcast(table) if counted(table) <= rows else table
+    """The saved table, for one side of a join: broadcast if its rows are few enough, which are counted, else for a merge join.
+
+    Were that left to Spark, it would go by the size of the files, which are compressed: a table of millions of
+    short rows could be sent to the driver.
+    """
+    return F.broadcast(table) if counted(table) <= rows else table.hint("merge")
 
 
 def delete(spark: SparkSession, path: str) -> None:

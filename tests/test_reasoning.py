@@ -2,6 +2,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from kgspark.checkpoints import saved, small
 from kgspark.operators import owl, rdfs, shacl
 from kgspark.operators.closure import FixpointError, components, reachable, transitive_closure
 from kgspark.plans.syntax import Inverse
@@ -54,6 +55,14 @@ def test_components_of_long_chains(spark):
         components(chains, rounds=2)
 
 
+def test_large_saved_tables_are_not_broadcast(spark):
+    """Their files are small, as they are compressed; only counted rows say whether a table is."""
+    numbers = saved(spark.range(60_000), "numbers")
+    for rows, join in ((50_000, "SortMergeJoin"), (60_000, "BroadcastHashJoin")):
+        plan = spark.range(90_000).join(small(numbers, rows), "id")._jdf.queryExecution().executedPlan().toString()
+        assert join in plan
+
+
 def test_rdfs(spark):
     dog, mammal, animal, thing, life, rex = e("Dog", "Mammal", "Animal", "Thing", "Life", "rex")
     reads, consumes, person, reader, book, work, john, hobbit = e("reads", "consumes", "Person", "Reader", "Book", "Work", "john", "hobbit")
