@@ -52,8 +52,11 @@ def actions(df: DataFrame, **values: Column | str) -> DataFrame:
 
 
 def malicious_ip_alerts(graph: Graph) -> DataFrame:
-    """(subject, ip): cyber events whose destination is malicious, as often as the triples stand."""
-    events = graph.scan(p=TYPE, o=EX + "CyberEvent").select("s")
+    """(subject, ip): cyber events whose destination is malicious, as often as the triples stand.
+
+    Neither side is small for being few bytes of files, so they meet in a merge join.
+    """
+    events = graph.scan(p=TYPE, o=EX + "CyberEvent").select("s").hint("merge")
     targets = graph.scan(p=EX + "destIP").select(F.col("s").alias("subject"), F.col("o").alias("ip")).where(is_malicious_ip(F.col("ip")))
     return targets.join(events, F.col("subject") == F.col("s")).select("subject", "ip")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.checkpoints import small
 from kgspark.operators.closure import transitive_closure
 from kgspark.terms import DOMAIN, RANGE, SUBCLASS, SUBPROPERTY, TYPE, as_quads
 
@@ -92,12 +93,13 @@ def property_schema(every: DataFrame, limit: int = 100_000) -> tuple[set[tuple[s
     return {(a, b) for a, own in above.items() for b in own if a != b}, of[DOMAIN], of[RANGE]
 
 
-def entailed(quads: DataFrame, compat: bool = False, limit: int = 100_000) -> DataFrame:
+def entailed(quads: DataFrame, compat: bool = False, limit: int = 100_000, asserted: bool = True) -> DataFrame:
     """All triples that follow, asserted ones of the rules' predicates included, without repeats.
 
     The schema of properties is read to the driver under a bound; classes stay tables. Then one look at each
     triple of a property that has a say gives what it entails by itself, and types are lifted once.
-    compat keeps to hierarchies of two hops and rules that do not see one another's triples.
+    compat keeps to hierarchies of two hops and rules that do not see one another's triples. Without asserted,
+    types in quads are not repeated unless they follow from something else, too.
     """
     every = as_quads(quads).select(*COLUMNS)
     if compat:
@@ -116,16 +118,18 @@ def entailed(quads: DataFrame, compat: bool = False, limit: int = 100_000) -> Da
     triple = lambda s, p, o, *kind: F.struct(*(x.alias(n) for x, n in zip((s, p, o, *kind), COLUMNS, strict=True)))
     typing = lambda who: lambda c: triple(F.col(who), F.lit(TYPE), c, F.when(F.startswith(c, F.lit("_:")), "bnode").otherwise("iri"), F.lit(""), F.lit(""))
     node = F.col("o_kind") != "literal"
+    own = (F.col("p") == TYPE) & node if asserted else (F.col("p") == TYPE) & node & (F.concat("o_dt", "o_lang") != "")
     parts = [
         F.transform("above", lambda q: triple(F.col("s"), q, *(F.col(c) for c in COLUMNS[2:]))),
         F.transform("s_types", typing("s")),
         F.when(node, F.transform("o_types", typing("o"))),
-        F.when((F.col("p") == TYPE) & node, F.array(triple(*(F.col(c) for c in COLUMNS[:4]), F.lit(""), F.lit("")))),
+        F.when(own, F.array(triple(*(F.col(c) for c in COLUMNS[:4]), F.lit(""), F.lit("")))),
     ]
     told = every.where(F.col("p").isin([TYPE, *(e[0] for e in effects)])) if len(effects) < 1000 else every
     rows = told.join(F.broadcast(rules), "p", "left").select(F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("t")).select("t.*").distinct()
     class_edges = [SUBCLASS, *(a for a, b in below if b == SUBCLASS)]
-    classes = transitive_closure(every.where(F.col("p").isin(class_edges) & node).select(F.col("s").alias("a"), F.col("o").alias("b"))).where("a <> b")
-    lifted = node_triples(lifted_types(edges(rows, TYPE), classes), TYPE)
+    classes = small(transitive_closure(every.where(F.col("p").isin(class_edges) & node).select(F.col("s").alias("a"), F.col("o").alias("b")))).where("a <> b")
+    types = edges(rows, TYPE) if asserted else edges(rows, TYPE).unionByName(edges(every, TYPE))
+    lifted = node_triples(lifted_types(types, classes), TYPE)
     schema = spark.createDataFrame([(a, SUBPROPERTY, b, "bnode" if b.startswith("_:") else "iri", "", "") for a, b in sorted(below)], "s string, p string, o string, o_kind string, o_dt string, o_lang string")
     return rows.unionByName(lifted).unionByName(node_triples(classes, SUBCLASS)).unionByName(schema).distinct()

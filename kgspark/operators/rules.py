@@ -12,7 +12,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.checkpoints import counted, discard, saved
+from kgspark.checkpoints import counted, discard, saved, small
 from kgspark.operators.closure import FixpointError
 from kgspark.operators.detect import ACTION_DDL, actions, malicious_ip_actions
 from kgspark.operators.rdfs import COLUMNS, entailed
@@ -366,8 +366,12 @@ def process(quads: DataFrame, registry: Registry, options: Options | None = None
     options = options or Options()
     base = saved(as_quads(quads), "graph")  # each part below reads it, so what it takes to make it is done once
     spark = quads.sparkSession
-    inferred = entailed(base) if options.reasoning else spark.createDataFrame([], TRIPLE_DDL)
-    fresh = saved(inferred.join(base.select(*COLUMNS), list(COLUMNS), "left_anti"), "inferred")
+    fresh = saved(entailed(base, asserted=False) if options.reasoning else spark.createDataFrame([], TRIPLE_DDL), "inferred")
+    if counted(fresh):  # only triples of its predicates can be in both, and the size of the graph's files says little
+        inferred, predicates = fresh, saved(fresh.select("p").distinct(), "predicates")
+        known = base.select(*COLUMNS).join(small(predicates), "p", "left_semi")
+        fresh = saved(inferred.join(known.hint("merge"), list(COLUMNS), "left_anti"), "inferred")
+        discard(inferred, predicates)
     if registry.inferences:
         known = base.select(*COLUMNS).unionByName(fresh)
         fresh = fresh.unionByName(fixpoint(known, registry.inferences))

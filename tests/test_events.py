@@ -1,14 +1,15 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from kgspark.operators import detect, rules, timeseries
+from kgspark.operators import detect, rdfs, rules, timeseries
 from kgspark.sources import formats, siem
 from kgspark.sources.events import EVENT_DDL, event_jsonld, event_triples, read_events
 from kgspark.sources.mapping import Literal, QuadGraph
 from kgspark.sources.store import QuadStore, imported, inferred, sensor
 from kgspark.streaming import pipeline as streams
-from kgspark.terms import EX, INTEGER, TYPE, quads_of
+from kgspark.terms import DOMAIN, EX, INTEGER, RANGE, SUBCLASS, SUBPROPERTY, TYPE, as_quads, quads_of
 
 NAMES = [x.split(" ")[0] for x in EVENT_DDL.split(", ")]
 
@@ -143,6 +144,34 @@ def test_declarative_rules_and_engine(spark):
     assert quads.count() == 10 and history == [("grow", True), ("skip", False), ("end", True)]
 
 
+def test_engine_broadcasts_no_graph(spark):
+    """The files of a graph are a few hundred KB, its rows in memory tens of MB; both joins of the engine must do without a broadcast of it."""
+    n = 20_000
+    e = spark.range(n).selectExpr("concat('event:', id) AS s", "id")
+    typed = e.selectExpr("s", f"'{TYPE}' AS p", f"'{EX}CyberEvent' AS o", "'iri' AS o_kind")
+    targets = e.selectExpr("s", f"'{EX}destIP' AS p", "if(id % 2 = 0, '10.0.0.50', '172.16.0.1') AS o", "'literal' AS o_kind")
+    name = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "300k")
+    try:
+        out = rules.process(as_quads(typed.unionByName(targets)), rules.Registry().register(rules.MaliciousIpRule()))
+        assert out.actions.count() == n // 2 and out.inferred.count() == 0
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_engine_infers_what_follows_and_is_not_there(spark):
+    """Types that stand there, that follow and stand there, that follow through them, and one with the odd datatype."""
+    names = {x: EX + x for x in ("a", "b", "c", "A", "B", "C", "p", "q")}
+    a, b, c, ca, cb, cc, p, q = names.values()
+    quads = quads_of(spark, [(a, TYPE, ca), (a, TYPE, cb), (ca, SUBCLASS, cb), (cb, SUBCLASS, cc), (p, DOMAIN, ca), (p, RANGE, cb), (p, SUBPROPERTY, q), (b, p, c), (b, q, c), (c, p, ("text",))])
+    quads = quads.unionByName(quads_of(spark, [(c, TYPE, ca)]).withColumn("o_dt", F.lit("odd")))
+    want = rdfs.entailed(quads).join(quads, list(rdfs.COLUMNS), "left_anti")
+    got = rules.process(quads, rules.Registry()).inferred
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[k] for k in got.columns) for r in want.collect())
+    assert {(r["s"], r["o"]) for r in got.where(f"p = '{TYPE}' and o_dt = ''").collect()} == {(a, cc), (b, ca), (b, cb), (b, cc), (c, ca), (c, cb), (c, cc)}
+
+
 def test_ntriples(spark):
     lines = ["# comment", "", '<a:s> <a:p> "q\\"uo\\\\te\\n\\u00e9" .', '<a:s> <a:p> "hi"@EN .', '<a:s> <a:p> "5"^^<http://www.w3.org/2001/XMLSchema#integer> <a:g> .', "_:x <a:p> _:y ."]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
